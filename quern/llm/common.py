@@ -6,6 +6,7 @@ import atexit
 import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -63,3 +64,22 @@ def _tidy() -> None:
 
 def parallelism(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+def ship(spark: SparkSession) -> None:
+    """Let Python workers import this package wherever they run; once a context."""
+    sc = spark.sparkContext
+    if getattr(sc, "_quern_shipped", False):
+        return
+    import quern
+
+    root = os.path.dirname(os.path.abspath(quern.__file__))
+    target = os.path.join(tempfile.mkdtemp(prefix="quern-"), "quern.zip")
+    with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as z:
+        for folder, _, names in os.walk(root):
+            for name in names:
+                if name.endswith(".py"):
+                    full = os.path.join(folder, name)
+                    z.write(full, os.path.join("quern", os.path.relpath(full, root)))
+    sc.addPyFile(target)
+    sc._quern_shipped = True

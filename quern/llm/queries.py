@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from . import quality_rules, url_rules
+from . import language, pii, quality_rules, url_rules
 from .common import table
 
 
+def op2_pii(spark, sf_dir):
+    return pii.find(spark, table(spark, sf_dir, "documents"))
+
+
 def op5_quality_rules(spark, sf_dir):
     df = quality_rules.filter_documents(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return df.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -15,9 +19,15 @@ def op9_url_rules(spark, sf_dir):
     return url_rules.judge(table(spark, sf_dir, "pages"), url_rules.default_rules(spark))
 
 
+def op10_language(spark, sf_dir):
+    return language.identify(spark, table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
+    "op2_pii": op2_pii,
     "op5_quality_rules": op5_quality_rules,
     "op9_url_rules": op9_url_rules,
+    "op10_language": op10_language,
 }
 
 ORACLES = {
