@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import language, pii, quality_rules, url_rules
+from . import language, licenses, pii, quality_rules, tool_calls, url_rules
 from .common import table
 
 
@@ -10,6 +10,14 @@ def op2_pii(spark, sf_dir):
     return pii.find(spark, table(spark, sf_dir, "documents"))
 
 
+def op3_licenses(spark, sf_dir):
+    return licenses.scan(spark, table(spark, sf_dir, "documents"))
+
+
+def op4_tool_calls(spark, sf_dir):
+    return tool_calls.link(spark, *tool_calls.from_turns(table(spark, sf_dir, "conversations")))
+
+
 def op5_quality_rules(spark, sf_dir):
     df = quality_rules.filter_documents(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return df.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -25,6 +33,8 @@ def op10_language(spark, sf_dir):
 
 QUERIES = {
     "op2_pii": op2_pii,
+    "op3_licenses": op3_licenses,
+    "op4_tool_calls": op4_tool_calls,
     "op5_quality_rules": op5_quality_rules,
     "op9_url_rules": op9_url_rules,
     "op10_language": op10_language,
