@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from . import language, licenses, pii, quality_rules, tool_calls, url_rules
+from . import language, licenses, packing, pii, quality_rules, token_files, tool_calls, url_rules
 from .common import table
 
 
+def op1_packing(spark, sf_dir):
+    return packing.pack_documents(spark, table(spark, sf_dir, "documents"))
+
+
 def op2_pii(spark, sf_dir):
     return pii.find(spark, table(spark, sf_dir, "documents"))
 
@@ -23,6 +27,12 @@ def op5_quality_rules(spark, sf_dir):
     return df.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op6_token_files(spark, sf_dir):
+    path = token_files.file_set(spark, "tokens")
+    token_files.write(spark, table(spark, sf_dir, "documents"), path)
+    return token_files.read(spark, path)
+
+
 def op9_url_rules(spark, sf_dir):
     return url_rules.judge(table(spark, sf_dir, "pages"), url_rules.default_rules(spark))
 
@@ -32,10 +42,12 @@ def op10_language(spark, sf_dir):
 
 
 QUERIES = {
+    "op1_packing": op1_packing,
     "op2_pii": op2_pii,
     "op3_licenses": op3_licenses,
     "op4_tool_calls": op4_tool_calls,
     "op5_quality_rules": op5_quality_rules,
+    "op6_token_files": op6_token_files,
     "op9_url_rules": op9_url_rules,
     "op10_language": op10_language,
 }
