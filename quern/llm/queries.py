@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import language, licenses, near_duplicates, packing, pii, quality_rules, token_files, tool_calls, url_rules
+from . import decontamination, language, licenses, near_duplicates, packing, pii, quality_rules, token_files, tool_calls, url_rules
 from .common import table
 
 
@@ -33,6 +33,10 @@ def op6_token_files(spark, sf_dir):
     return token_files.read(spark, path)
 
 
+def op7_decontamination(spark, sf_dir):
+    return decontamination.find(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op8_near_duplicates(spark, sf_dir):
     return near_duplicates.find(spark, table(spark, sf_dir, "documents"))
 
@@ -52,6 +56,7 @@ QUERIES = {
     "op4_tool_calls": op4_tool_calls,
     "op5_quality_rules": op5_quality_rules,
     "op6_token_files": op6_token_files,
+    "op7_decontamination": op7_decontamination,
     "op8_near_duplicates": op8_near_duplicates,
     "op9_url_rules": op9_url_rules,
     "op10_language": op10_language,
