@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import os
 import tempfile
 import uuid
@@ -48,6 +49,12 @@ def drop_table(spark: SparkSession, path: str) -> None:
     _made[:] = [x for x in _made if x[1] != path]
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark remove the shuffle files of plans that are done; else they stay until the driver collects its garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 #: Tables that results may still be read from; they go when the process ends.
 _made: list[tuple[SparkSession, str]] = []
 

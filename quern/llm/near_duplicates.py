@@ -1,13 +1,14 @@
 """N-gram Jaccard join of documents by a grouped prefix join.
 
 1. Every text becomes its set of hashed 3-word shingles; equal sets are one class.
-2. A global order of shingles: those with a hash in the lowest fifth come first, by the number of classes
-   that hold them, rarest first; the others follow by hash. Two sets with Jaccard similarity t share a
-   shingle among the first ``|x| - ceil(t|x|) + 1`` of each (prefix filter), whatever the order; counting
-   only a fifth of the shingles keeps the shuffle at a fifth.
-3. Classes with identical prefixes and size are collapsed into one group. Groups that share a prefix shingle
-   are filtered by size and by the number of prefix shingles that the other lacks (positional filter), then
-   expanded to their members, and each pair is verified on the whole sets.
+2. Two sets with Jaccard similarity t share a shingle among the first ``|x| - ceil(t|x|) + 1`` of each
+   (prefix filter), whatever the global order. A first order puts the shingles with a hash in the lowest
+   fifth in front, by the number of classes that hold them, rarest first: counting only a fifth keeps the
+   shuffle at a fifth, and most classes turn out to share no prefix shingle and leave.
+3. The classes that are left are ordered anew, by the frequencies of all their shingles among themselves.
+   Classes with identical prefixes and size are collapsed into one group. Groups that share a shingle are
+   filtered by size and by its positions (what comes before the first common shingle is missing from the other
+   set), then expanded to their members, and each pair is verified on the whole sets.
 
 Only components are asked for, so pairs within a component need no verification: a first round links
 neighbours in each bucket, a linear number of pairs; the exact round then joins only members of different
@@ -30,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import drop_table, ship, write_table
+from .common import drop_table, release, ship, write_table
 from .components import components
 from .shingles import shingles
 
@@ -41,12 +42,19 @@ SIMILARITY = 90
 POOL = (1 << 64) // 5
 #: Members of a bucket that are put in order together in the first round.
 CHAIN = 5_000
+#: Bits of the map of ids whose texts are read again.
+BITS = 1 << 24
 
 
 def _prefix_size(n: int, similarity: int) -> int:
     return n - -(-similarity * n // 100) + 1
 
 
+def _lists(sets: list[np.ndarray]) -> pa.ListArray:
+    ends = np.cumsum([0, *map(len, sets)])
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(sets).view(np.int64) if sets else [], pa.int64()))
+
+
 def _sets(spark: SparkSession, docs: DataFrame, similarity: int) -> DataFrame:
     """doc_id, n, cid (digest of the set; null if empty) and pool (shingles that the prefix is taken from)."""
     ship(spark)
@@ -61,28 +69,37 @@ def _sets(spark: SparkSession, docs: DataFrame, similarity: int) -> DataFrame:
                     n.append(len(s))
                     cid.append(hashlib.blake2b(s.astype("<u8").tobytes(), digest_size=16).digest() if len(s) else None)
                     low = int(np.searchsorted(s, np.uint64(POOL)))
-                    pool.append(s[: max(low, _prefix_size(len(s), similarity) if len(s) else 0)].view(np.int64))
-                ends = np.cumsum([0, *map(len, pool)])
-                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(pool) if pool else [], pa.int64()))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n, pa.int64()), pa.array(cid, pa.binary()), lists], names=["doc_id", "n", "cid", "pool"])
+                    pool.append(s[: max(low, _prefix_size(len(s), similarity) if len(s) else 0)])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n, pa.int64()), pa.array(cid, pa.binary()), _lists(pool)], names=["doc_id", "n", "cid", "pool"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.mapInArrow(run, f"doc_id {kind}, n long, cid binary, pool array<long>")
 
 
-def _full_sets(spark: SparkSession, rows: DataFrame) -> DataFrame:
-    """nid, cid, s: the whole set as bytes, of rows nid, cid, text. Rows whose text isn't the class's are left out."""
+def _full_sets(spark: SparkSession, given: DataFrame, wanted: DataFrame) -> DataFrame:
+    """nid, n, pool: the whole sets of the classes wanted (nid, cid, rep).
+
+    A bitmap of BITS hashed ids, 2 MB whatever the input, tells which rows to hash again; rows that it lets
+    through by chance are dropped by the join, so it decides only how much is shuffled.
+    """
+    at = lambda c: F.pmod(F.xxhash64(c), F.lit(BITS)) + 1
+    bits = np.zeros(BITS // 8, np.uint8)
+    h = wanted.select(at("rep").alias("h"))
+    for r in h.groupBy(F.bitmap_bucket_number("h").alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("h")).alias("m")).collect():  # 512 rows at most
+        bits[(r["b"] - 1) * 4096 : r["b"] * 4096] = np.frombuffer(r["m"], np.uint8)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
+            h = b.column("h").to_numpy() - 1
+            b = b.filter(pa.array((bits[h >> 3] >> (h & 7).astype(np.uint8)) & 1 == 1))
             for at in range(0, b.num_rows, 200):
-                part = b.slice(at, 200)
-                sets = [shingles(t, WORDS).astype("<u8").tobytes() for t in part.column("text").cast(pa.binary()).to_pylist()]
-                same = [hashlib.blake2b(s, digest_size=16).digest() == c for s, c in zip(sets, part.column("cid").to_pylist(), strict=True)]
-                out = pa.RecordBatch.from_arrays([part.column("nid"), pa.array(sets, pa.binary())], names=["nid", "s"])
-                yield out.filter(pa.array(same, pa.bool_()))
+                sets = [shingles(t, WORDS) for t in b.slice(at, 200).column("text").cast(pa.binary()).to_pylist()]
+                sets = [s for s in sets if len(s)]
+                cid = [hashlib.blake2b(s.astype("<u8").tobytes(), digest_size=16).digest() for s in sets]
+                yield pa.RecordBatch.from_arrays([pa.array(cid, pa.binary()), _lists(sets)], names=["k", "pool"])
 
-    return rows.mapInArrow(run, "nid long, s binary").dropDuplicates(["nid"])
+    rows = given.select("text", at("doc_id").alias("h")).mapInArrow(run, "k binary, pool array<long>")
+    return wanted.join(rows, F.col("cid") == F.col("k")).dropDuplicates(["nid"]).select("nid", F.size("pool").cast("long").alias("n"), "pool")
 
 
 def _need(n_a: Column, n_b: Column, similarity: int) -> Column:
@@ -91,16 +108,19 @@ def _need(n_a: Column, n_b: Column, similarity: int) -> Column:
 
 
 def _prefixes(classes: DataFrame, similarity: int) -> DataFrame:
-    """nid, n, d (prefix size), pre (prefix shingles that another class holds, rarest first), counted, gid."""
+    """nid, n, d (prefix size), alone (prefix shingles of no other class), pre (the others, rarest first), last, counted, gid.
+
+    classes: nid, n, pool (the shingles that come first in the order, or all).
+    """
     flat = classes.select("nid", "n", F.size("pool").alias("m"), F.explode("pool").alias("tok"))
     shared = classes.select(F.explode("pool").alias("tok")).groupBy("tok").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
     held = flat.join(shared, "tok").groupBy("nid", "n", "m").agg(F.sort_array(F.collect_list(F.struct("df", "tok"))).alias("held"))
     d = F.col("n") - F.ceil(similarity * F.col("n") / 100) + 1
     need = (d - (F.col("m") - F.size("held"))).cast("int")
-    held = held.select("nid", "n", d.alias("d"), need.alias("need"), "held", (F.col("m") > d).alias("counted")).where("need > 0")
-    held = held.withColumn("held", F.slice("held", F.lit(1), F.col("need"))).drop("need")
+    held = held.select("nid", "n", d.alias("d"), need.alias("need"), "held", ((F.col("m") > d) | (F.col("m") == F.col("n"))).alias("counted")).where("need > 0")
+    held = held.withColumn("alone", (F.col("d") - F.col("need")).cast("int")).withColumn("held", F.slice("held", F.lit(1), F.col("need"))).drop("need")
     last = F.element_at("held", -1)
-    made = held.select("nid", "n", "d", F.transform("held", lambda h: h.tok).alias("pre"), last.alias("last"), "counted")
+    made = held.select("nid", "n", "d", "alone", F.transform("held", lambda h: h.tok).alias("pre"), last.alias("last"), "counted")
     return made.withColumn("gid", F.unhex(F.md5(F.concat_ws(",", F.col("n").cast("string"), F.col("last.df").cast("string"), F.concat_ws(",", F.transform("pre", lambda x: x.cast("string")))))))
 
 
@@ -124,15 +144,15 @@ def _verify(pairs: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
         for b in batches:
             keep = []
             for x, y in zip(b.column("s_a"), b.column("s_b"), strict=True):
-                x, y = np.frombuffer(x.as_buffer(), "<u8"), np.frombuffer(y.as_buffer(), "<u8")
+                x, y = x.values.to_numpy().view(np.uint64), y.values.to_numpy().view(np.uint64)
                 x, y = (x, y) if len(x) <= len(y) else (y, x)
                 at = np.searchsorted(y, x)
                 both = int(np.count_nonzero(y[np.minimum(at, len(y) - 1)] == x))
                 keep.append(100 * both >= similarity * (len(x) + len(y) - both))
             yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    left = pairs.join(sets.select(F.col("nid").alias("a"), F.col("s").alias("s_a")), "a")
-    return left.join(sets.select(F.col("nid").alias("b"), F.col("s").alias("s_b")), "b").select("a", "b", "s_a", "s_b").mapInArrow(run, "a long, b long")
+    left = pairs.join(sets.select(F.col("nid").alias("a"), F.col("pool").alias("s_a")), "a")
+    return left.join(sets.select(F.col("nid").alias("b"), F.col("pool").alias("s_b")), "b").select("a", "b", "s_a", "s_b").mapInArrow(run, "a long, b long")
 
 
 def _first_round(w: DataFrame, similarity: int) -> DataFrame:
@@ -156,18 +176,19 @@ def _last_round(spark: SparkSession, w: DataFrame, roots: DataFrame, similarity:
     """Pairs a, b of different components whose groups pass the filters."""
     comp = w.join(roots, w.nid == roots.node, "left").select(*w.columns, F.coalesce("root", "nid").alias("comp"))
     parts, _ = write_table(spark, comp, "near-parts")
-    sub = parts.groupBy("gid", "comp").agg(F.min("nid").alias("sid"), F.first("n").alias("n"), F.first("pre").alias("pre"))
-    flat = sub.select("sid", "comp", "n", F.explode("pre").alias("tok"))
+    sub = parts.groupBy("gid", "comp").agg(F.min("nid").alias("sid"), F.first("n").alias("n"), F.first("alone").alias("alone"), F.first("pre").alias("pre"))
+    flat = sub.select("sid", "comp", "n", "alone", F.posexplode("pre").alias("i", "tok")).select("sid", "comp", "n", "tok", (F.col("alone") + F.col("i")).alias("pos"))
     per = flat.groupBy("tok", "comp").agg(F.count(F.lit(1)).alias("c"))
     mode = per.groupBy("tok").agg(F.max_by("comp", F.struct("c", "comp")).alias("mode"), F.count(F.lit(1)).alias("comps")).where("comps > 1").drop("comps")
     rows, rows_at = write_table(spark, flat.join(mode, "tok"), "near-buckets")
-    few = rows.where("comp <> mode").select("tok", F.col("sid").alias("x"), F.col("comp").alias("x_comp"), F.col("n").alias("x_n"))
+    few = rows.where("comp <> mode").select("tok", F.col("sid").alias("x"), F.col("comp").alias("x_comp"), F.col("n").alias("x_n"), F.col("pos").alias("x_pos"))
     # Members outside a bucket's most common component meet all members; among themselves, once.
-    pair = (F.col("comp") != F.col("x_comp")) & ((F.col("comp") == F.col("mode")) | (F.col("sid") > F.col("x"))) & (100 * F.least("n", "x_n") >= similarity * F.greatest("n", "x_n"))
+    need = _need(F.col("n"), F.col("x_n"), similarity)
+    fits = (100 * F.least("n", "x_n") >= similarity * F.greatest("n", "x_n")) & (F.col("pos") <= F.col("n") - need) & (F.col("x_pos") <= F.col("x_n") - need)
+    pair = (F.col("comp") != F.col("x_comp")) & ((F.col("comp") == F.col("mode")) | (F.col("sid") > F.col("x"))) & fits
     met = rows.withColumnRenamed("tok", "t").join(few, (F.col("t") == F.col("tok")) & pair)
-    met = met.select(F.least("sid", "x").alias("a_nid"), F.greatest("sid", "x").alias("b_nid")).groupBy("a_nid", "b_nid").agg(F.count(F.lit(1)).alias("common"))
-    names = ("n", "d", "last", "counted", "gid", "comp")
-    met = met.join(_side(parts, "a", *names), "a_nid").join(_side(parts, "b", *names), "b_nid").where(_may_match(F.col("common"), similarity))
+    met = met.select(F.least("sid", "x").alias("a_nid"), F.greatest("sid", "x").alias("b_nid")).distinct()
+    met = met.join(_side(parts, "a", "gid", "comp"), "a_nid").join(_side(parts, "b", "gid", "comp"), "b_nid")
     # Expand: members of each pair of groups, within their components.
     member = parts.select("nid", "gid", "comp")
     left = met.select("a_gid", "a_comp", "b_gid", "b_comp").join(member.select(F.col("nid").alias("a"), F.col("gid").alias("a_gid"), F.col("comp").alias("a_comp")), ["a_gid", "a_comp"])
@@ -178,34 +199,40 @@ def find(spark: SparkSession, docs: DataFrame, similarity: int = SIMILARITY, id_
     """doc_id, n_shingles, component_id of every row."""
     given = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     sets, sets_at = write_table(spark, _sets(spark, given, similarity), "near-sets")
+    rows, _ = write_table(spark, sets.select("doc_id", "n", "cid"), "near-rows")
     one = sets.where("cid IS NOT NULL").groupBy("cid").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("pool").alias("pool"))
-    classes, _ = write_table(spark, one.withColumn("nid", F.monotonically_increasing_id()), "near-classes")
-    w, _ = write_table(spark, _prefixes(classes, similarity), "near-prefixes")
-
-    # Whole sets of the classes that have a prefix; texts meet their class by id, then prove equal to it.
-    wanted = classes.select("nid", "cid", "rep").join(w.select("nid"), "nid", "left_semi")
-    texts = given.join(wanted, F.col("doc_id").eqNullSafe(F.col("rep"))).select("nid", "cid", "text")
-    full, full_at = write_table(spark, _full_sets(spark, texts), "near-full")
-
+    pools, pools_at = write_table(spark, one.withColumn("nid", F.monotonically_increasing_id()), "near-pools")
+    drop_table(spark, sets_at)
+    classes, _ = write_table(spark, pools.select("nid", "cid", "rep"), "near-classes")
+    some, _ = write_table(spark, _prefixes(pools, similarity).select("nid"), "near-some")
+    drop_table(spark, pools_at)
+    release(spark)
+
+    full, full_at = write_table(spark, _full_sets(spark, given, classes.join(some, "nid", "left_semi")), "near-full")
+    w, _ = write_table(spark, _prefixes(full, similarity), "near-prefixes")
+    release(spark)
     first, _ = write_table(spark, _verify(_first_round(w, similarity), full, similarity), "near-links")
+    release(spark)
     roots = components(spark, first)
     more, _ = write_table(spark, _verify(_last_round(spark, w, roots, similarity), full, similarity), "near-links")
     drop_table(spark, full_at)
+    release(spark)
     if not more.isEmpty():
         roots = components(spark, more.union(roots.select("node", "root")))
 
-    named = classes.select("cid", "rep", "nid").join(roots, F.col("nid") == F.col("node"), "left").select("cid", "rep", F.coalesce("root", "nid").alias("root"))
+    named = classes.join(roots, F.col("nid") == F.col("node"), "left").select("cid", "rep", F.coalesce("root", "nid").alias("root"))
     names = named.groupBy("root").agg(F.min("rep").alias("component"))
     by_class = named.join(names, "root").select(F.col("cid").alias("k"), "component")
-    out = sets.select("doc_id", "n", "cid").join(by_class, F.col("cid") == F.col("k"), "left")
+    out = rows.join(by_class, F.col("cid") == F.col("k"), "left")
     own = F.when(F.col("cid").isNull(), F.col("doc_id")).otherwise(F.col("component"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"))
 
 
 def distinct(spark: SparkSession, docs: DataFrame, similarity: int = SIMILARITY) -> DataFrame:
     """The rows of docs, all columns, that give their component its name; of repeated ids, one row stays."""
-    found = find(spark, docs, similarity)
+    found, _ = write_table(spark, find(spark, docs, similarity), "near-found")
     keep = found.where("doc_id = component_id OR doc_id IS NULL").select("doc_id").distinct()
     kept = docs.alias("d").join(keep.alias("k"), F.col("d.doc_id").eqNullSafe(F.col("k.doc_id")), "left_semi").select("d.*")
-    named = kept.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"])
-    return named.unionByName(kept.where("doc_id IS NULL"))
+    if found.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").isEmpty():
+        return kept
+    return kept.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).unionByName(kept.where("doc_id IS NULL"))
