@@ -30,7 +30,7 @@ def fnv1a64(token: str) -> int:
 def simhash_tokens(text: str) -> list[str]:
     """CJK bigrams across gaps, the last one single; then lower-case Latin words and numbers."""
     cjk = _CJK.findall(text)
-    pairs = [a + b for a, b in zip(cjk, [*cjk[1:], ""], strict=True)]
+    pairs = [a + b for a, b in zip(cjk, [*cjk[1:], ""], strict=False)]
     return pairs + _LATIN.findall(text.lower())
 
 
