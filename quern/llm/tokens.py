@@ -17,8 +17,9 @@ assert sys.byteorder == "little" and array("I").itemsize == 4  # noqa: S101 - id
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
-#: Words remembered by a worker, in each of two tables; a full table starts anew. About 170 MB in all.
-REMEMBER = 400_000
+#: Words remembered by a worker, in each of two tables of two generations: a full one becomes the old one,
+#: from which words in use come back. About 200 MB in all.
+REMEMBER = 250_000
 #: Python splits words at these characters, the tokenizer doesn't.
 _ODD = ("\x1c", "\x1d", "\x1e", "\x1f", "\x85", "<|")
 _TAIL = ".,;:!?"
@@ -42,6 +43,8 @@ class Encoder:
         pre = json.dumps(spec.get("pre_tokenizer"))
         self.by_word = spec["model"]["type"] == "BPE" and '"add_prefix_space": false' in pre and "[^\\\\s" in pre and spec["model"].get("end_of_word_suffix") == "</w>" and spec.get("post_processor") is None
         self.words: dict[str, bytes] = {}
+        self.old_words: dict[str, bytes] = {}
+        self.old_cores: dict[str, bytes] = {}
         self.cores: dict[str, bytes] = {"": b""}
         self.model = self.tokenizer.model
         letters = [chr(c) for c in range(256) if chr(c).isalpha()] if self.by_word else []
@@ -71,9 +74,11 @@ class Encoder:
         pieces = {p for part in parts for p in part[1:]}
         need = pieces.difference(self.cores)
         if len(self.cores) + len(need) > REMEMBER:
-            self.cores = {"": b""}
+            self.old_cores, self.cores = self.cores, {"": b""}
             need = pieces.difference(self.cores)
-        self._pieces(list(need))
+        back = {p for p in need if p in self.old_cores}
+        self.cores.update((p, self.old_cores[p]) for p in back)
+        self._pieces(list(need - back))
         for w, core, tail in parts:
             self.words[w] = self.cores[core] + self.cores[tail]
         self.words.update(zip(whole, self._library(whole), strict=True))
@@ -92,8 +97,10 @@ class Encoder:
             every = set().union(*split.values())
             new = every.difference(self.words)
             if len(self.words) + len(new) > REMEMBER:
-                self.words, new = {}, every
-            self._learn(list(new))
+                self.old_words, self.words, new = self.words, {}, every
+            back = {w for w in new if w in self.old_words}
+            self.words.update((w, self.old_words[w]) for w in back)
+            self._learn(list(new - back))
             for k, ws in split.items():
                 out[k] = b"".join([self.words[w] for w in ws])
         return out
