@@ -6,9 +6,10 @@
    fifth in front, by the number of classes that hold them, rarest first: counting only a fifth keeps the
    shuffle at a fifth, and most classes turn out to share no prefix shingle and leave.
 3. The classes that are left are ordered anew, by the frequencies of all their shingles among themselves.
-   Classes with identical prefixes and size are collapsed into one group. Groups that share a shingle are
-   filtered by size and by its positions (what comes before the first common shingle is missing from the other
-   set), then expanded to their members, and each pair is verified on the whole sets.
+   Classes with identical prefixes, size and bitmap are collapsed into one group. Groups that share a shingle
+   are filtered by size, by its positions (what comes before the first common shingle is missing from the other
+   set) and by their bitmaps (each bit that differs stands for a shingle that one set lacks), then expanded to
+   their members, and each pair is verified on the whole sets.
 
 Only components are asked for, so pairs within a component need no verification: a first round links
 neighbours in each bucket, a linear number of pairs; the exact round then joins only members of different
@@ -42,6 +43,8 @@ SIMILARITY = 90
 POOL = (1 << 64) // 5
 #: Members of a bucket that are put in order together in the first round.
 CHAIN = 5_000
+#: 64-bit words of a set's bitmap, which bounds how much two sets differ.
+MAP = 16
 #: Bits of the map of ids whose texts are read again.
 BITS = 1 << 24
 
@@ -55,6 +58,12 @@ def _lists(sets: list[np.ndarray]) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(sets).view(np.int64) if sets else [], pa.int64()))
 
 
+def _bitmap(s: np.ndarray) -> np.ndarray:
+    there = np.zeros(64 * MAP, dtype=bool)
+    there[(s % np.uint64(64 * MAP)).astype(np.int64)] = True
+    return np.packbits(there, bitorder="little").view(np.uint64)
+
+
 def _sets(spark: SparkSession, docs: DataFrame, similarity: int) -> DataFrame:
     """doc_id, n, cid (digest of the set; null if empty) and pool (shingles that the prefix is taken from)."""
     ship(spark)
@@ -77,7 +86,7 @@ def _sets(spark: SparkSession, docs: DataFrame, similarity: int) -> DataFrame:
 
 
 def _full_sets(spark: SparkSession, given: DataFrame, wanted: DataFrame) -> DataFrame:
-    """nid, n, pool: the whole sets of the classes wanted (nid, cid, rep).
+    """nid, n, pool, bits: the whole sets of the classes wanted (nid, cid, rep), and their bitmaps.
 
     A bitmap of BITS hashed ids, 2 MB whatever the input, tells which rows to hash again; rows that it lets
     through by chance are dropped by the join, so it decides only how much is shuffled.
@@ -96,10 +105,10 @@ def _full_sets(spark: SparkSession, given: DataFrame, wanted: DataFrame) -> Data
                 sets = [shingles(t, WORDS) for t in b.slice(at, 200).column("text").cast(pa.binary()).to_pylist()]
                 sets = [s for s in sets if len(s)]
                 cid = [hashlib.blake2b(s.astype("<u8").tobytes(), digest_size=16).digest() for s in sets]
-                yield pa.RecordBatch.from_arrays([pa.array(cid, pa.binary()), _lists(sets)], names=["k", "pool"])
+                yield pa.RecordBatch.from_arrays([pa.array(cid, pa.binary()), _lists(sets), _lists([_bitmap(x) for x in sets])], names=["k", "pool", "bits"])
 
-    rows = given.select("text", at("doc_id").alias("h")).mapInArrow(run, "k binary, pool array<long>")
-    return wanted.join(rows, F.col("cid") == F.col("k")).dropDuplicates(["nid"]).select("nid", F.size("pool").cast("long").alias("n"), "pool")
+    rows = given.select("text", at("doc_id").alias("h")).mapInArrow(run, "k binary, pool array<long>, bits array<long>")
+    return wanted.join(rows, F.col("cid") == F.col("k")).dropDuplicates(["nid"]).select("nid", F.size("pool").cast("long").alias("n"), "pool", "bits")
 
 
 def _need(n_a: Column, n_b: Column, similarity: int) -> Column:
@@ -108,7 +117,7 @@ def _need(n_a: Column, n_b: Column, similarity: int) -> Column:
 
 
 def _prefixes(classes: DataFrame, similarity: int) -> DataFrame:
-    """nid, n, d (prefix size), alone (prefix shingles of no other class), pre (the others, rarest first), last, counted, gid.
+    """nid, n, d (prefix size), alone (prefix shingles of no other class), pre (the others, rarest first), last, counted.
 
     classes: nid, n, pool (the shingles that come first in the order, or all).
     """
@@ -120,8 +129,20 @@ def _prefixes(classes: DataFrame, similarity: int) -> DataFrame:
     held = held.select("nid", "n", d.alias("d"), need.alias("need"), "held", ((F.col("m") > d) | (F.col("m") == F.col("n"))).alias("counted")).where("need > 0")
     held = held.withColumn("alone", (F.col("d") - F.col("need")).cast("int")).withColumn("held", F.slice("held", F.lit(1), F.col("need"))).drop("need")
     last = F.element_at("held", -1)
-    made = held.select("nid", "n", "d", "alone", F.transform("held", lambda h: h.tok).alias("pre"), last.alias("last"), "counted")
-    return made.withColumn("gid", F.unhex(F.md5(F.concat_ws(",", F.col("n").cast("string"), F.col("last.df").cast("string"), F.concat_ws(",", F.transform("pre", lambda x: x.cast("string")))))))
+    return held.select("nid", "n", "d", "alone", F.transform("held", lambda h: h.tok).alias("pre"), last.alias("last"), "counted")
+
+
+def _grouped(prefixes: DataFrame, full: DataFrame) -> DataFrame:
+    """prefixes with bits and gid, which members of one group share."""
+    text = lambda c: F.concat_ws(",", F.transform(c, lambda x: x.cast("string")))
+    made = prefixes.join(full.select("nid", "bits"), "nid")
+    return made.withColumn("gid", F.unhex(F.md5(F.concat_ws(";", F.col("n").cast("string"), F.col("last.df").cast("string"), text("pre"), text("bits")))))
+
+
+def _alike(n_a: Column, bits_a: Column, n_b: Column, bits_b: Column, similarity: int) -> Column:
+    """Sets may be similar by their bitmaps: what differs is at most what may be missing from both."""
+    differ = sum((F.bit_count(F.get(bits_a, i).bitwiseXOR(F.get(bits_b, i))) for i in range(MAP)), F.lit(0))
+    return differ <= n_a + n_b - 2 * _need(n_a, n_b, similarity)
 
 
 def _may_match(common: Column, similarity: int) -> Column:
@@ -130,7 +151,8 @@ def _may_match(common: Column, similarity: int) -> Column:
     lacks = lambda x: (F.col(f"{x}_d") - common) > F.col(f"{x}_n") - need
     counted = F.col("a_counted") & F.col("b_counted")
     out = F.when(counted & (F.col("a_last") <= F.col("b_last")), lacks("a")).otherwise(F.lit(False)) | F.when(counted & (F.col("b_last") <= F.col("a_last")), lacks("b")).otherwise(F.lit(False))
-    return (100 * F.least("a_n", "b_n") >= similarity * F.greatest("a_n", "b_n")) & ~out
+    alike = _alike(F.col("a_n"), F.col("a_bits"), F.col("b_n"), F.col("b_bits"), similarity)
+    return (100 * F.least("a_n", "b_n") >= similarity * F.greatest("a_n", "b_n")) & ~out & alike
 
 
 def _side(w: DataFrame, x: str, *names: str) -> DataFrame:
@@ -166,7 +188,7 @@ def _first_round(w: DataFrame, similarity: int) -> DataFrame:
     chain = Window.partitionBy("tok", "salt").orderBy("n", "first", "end", "nid")
     near = flat.select(F.lag("nid").over(chain).alias("p"), "nid").where("p IS NOT NULL")
     near = near.select(F.least("p", "nid").alias("a_nid"), F.greatest("p", "nid").alias("b_nid")).distinct()
-    names = ("n", "d", "pre", "last", "counted")
+    names = ("n", "d", "pre", "last", "counted", "bits")
     near = near.join(_side(w, "a", *names), "a_nid").join(_side(w, "b", *names), "b_nid")
     near = near.where(_may_match(F.size(F.array_intersect("a_pre", "b_pre")), similarity))
     return star.union(near.select("a_nid", "b_nid"))
@@ -176,15 +198,16 @@ def _last_round(spark: SparkSession, w: DataFrame, roots: DataFrame, similarity:
     """Pairs a, b of different components whose groups pass the filters."""
     comp = w.join(roots, w.nid == roots.node, "left").select(*w.columns, F.coalesce("root", "nid").alias("comp"))
     parts, _ = write_table(spark, comp, "near-parts")
-    sub = parts.groupBy("gid", "comp").agg(F.min("nid").alias("sid"), F.first("n").alias("n"), F.first("alone").alias("alone"), F.first("pre").alias("pre"))
-    flat = sub.select("sid", "comp", "n", "alone", F.posexplode("pre").alias("i", "tok")).select("sid", "comp", "n", "tok", (F.col("alone") + F.col("i")).alias("pos"))
+    sub = parts.groupBy("gid", "comp").agg(F.min("nid").alias("sid"), F.first("n").alias("n"), F.first("alone").alias("alone"), F.first("bits").alias("bits"), F.first("pre").alias("pre"))
+    flat = sub.select("sid", "comp", "n", "alone", "bits", F.posexplode("pre").alias("i", "tok")).select("sid", "comp", "n", "tok", "bits", (F.col("alone") + F.col("i")).alias("pos"))
     per = flat.groupBy("tok", "comp").agg(F.count(F.lit(1)).alias("c"))
     mode = per.groupBy("tok").agg(F.max_by("comp", F.struct("c", "comp")).alias("mode"), F.count(F.lit(1)).alias("comps")).where("comps > 1").drop("comps")
     rows, rows_at = write_table(spark, flat.join(mode, "tok"), "near-buckets")
-    few = rows.where("comp <> mode").select("tok", F.col("sid").alias("x"), F.col("comp").alias("x_comp"), F.col("n").alias("x_n"), F.col("pos").alias("x_pos"))
+    few = rows.where("comp <> mode").select("tok", F.col("sid").alias("x"), F.col("comp").alias("x_comp"), F.col("n").alias("x_n"), F.col("pos").alias("x_pos"), F.col("bits").alias("x_bits"))
     # Members outside a bucket's most common component meet all members; among themselves, once.
     need = _need(F.col("n"), F.col("x_n"), similarity)
     fits = (100 * F.least("n", "x_n") >= similarity * F.greatest("n", "x_n")) & (F.col("pos") <= F.col("n") - need) & (F.col("x_pos") <= F.col("x_n") - need)
+    fits = fits & _alike(F.col("n"), F.col("bits"), F.col("x_n"), F.col("x_bits"), similarity)
     pair = (F.col("comp") != F.col("x_comp")) & ((F.col("comp") == F.col("mode")) | (F.col("sid") > F.col("x"))) & fits
     met = rows.withColumnRenamed("tok", "t").join(few, (F.col("t") == F.col("tok")) & pair)
     met = met.select(F.least("sid", "x").alias("a_nid"), F.greatest("sid", "x").alias("b_nid")).distinct()
@@ -209,7 +232,7 @@ def find(spark: SparkSession, docs: DataFrame, similarity: int = SIMILARITY, id_
     release(spark)
 
     full, full_at = write_table(spark, _full_sets(spark, given, classes.join(some, "nid", "left_semi")), "near-full")
-    w, _ = write_table(spark, _prefixes(full, similarity), "near-prefixes")
+    w, _ = write_table(spark, _grouped(_prefixes(full, similarity), full), "near-prefixes")
     release(spark)
     first, _ = write_table(spark, _verify(_first_round(w, similarity), full, similarity), "near-links")
     release(spark)
