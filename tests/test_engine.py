@@ -184,3 +184,25 @@ def test_queries_match_sql(spark, sf, name):
     want = sorted(map(str, (dict(sorted(zip(rel.columns, r, strict=True))) for r in rel.fetchall())))
     got = sorted(map(str, (dict(sorted(r.asDict().items())) for r in catalogue.QUERIES[name](spark, sf).collect())))
     assert got == want
+
+
+def test_job_source(monkeypatch):
+    from quern.sources import rest
+
+    client = lambda options: lambda path: {"data": [{"id": path, "n": options["n"]}]}
+    reader = rest._Reader({"n": 1}, client)
+    assert [json.loads(r[0]) for r in reader.read(reader.partitions()[0])] == [{"id": "fine_tuning/jobs", "n": 1}]
+    assert rest.rows_of([{"a": 1}]) == [{"a": 1}] and rest.rows_of(None) == []
+    monkeypatch.delenv("QUERN_TEST_KEY", raising=False)
+    with pytest.raises(ValueError):
+        rest.api_key("QUERN_TEST_KEY")
+
+
+def test_kmeans_separates_directions():
+    import numpy as np
+
+    rng = np.random.default_rng(0)
+    x = np.concatenate([[1, 0, 0] + 0.01 * rng.standard_normal((20, 3)), [0, 1, 0] + 0.01 * rng.standard_normal((20, 3))])
+    label = scoring.kmeans_cosine(x / np.linalg.norm(x, axis=1, keepdims=True), 2)
+    assert len(set(label[:20])) == len(set(label[20:])) == 1 and label[0] != label[-1]
+    assert [scoring.n_clusters(n) for n in (2, 100, 10_000, 10**6)] == [2, 5, 50, 64]
