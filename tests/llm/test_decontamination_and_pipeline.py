@@ -59,6 +59,28 @@ def test_recall_and_precision(spark, sf):
     assert kept.columns == df.columns and {r.doc_id for r in kept.collect()} == {n for n, _ in rows} - {n for n, _ in found}
 
 
+@pytest.mark.parametrize("many", [200, 700])
+def test_recall_does_not_fall_with_the_number_of_items(spark, sf, monkeypatch, many):
+    monkeypatch.setattr(dec, "SAMPLE", 100)
+    texts = [w for r in spark.read.parquet(f"{sf}/documents.parquet").collect() if len(w := dec.words_of((r.text or "").encode())) > 120]
+    rng = random.Random(5)
+    items, rows = [], [(-k, b" ".join(w).decode()) for k, w in enumerate(texts, 1)]
+    for k in range(many):
+        w = texts[k % len(texts)]
+        at = rng.randrange(len(w) - 40)
+        items.append((k, b" ".join(w[at : at + rng.randrange(30, 40)]).decode()))
+        host = rng.choice(texts)
+        for kind in range(2):  # verbatim, and with a fifth of the words changed
+            v = [("zz" if kind and i % 5 == 2 else x) for i, x in enumerate(items[k][1].split())]
+            rows.append((2 * k + kind, " ".join([*(x.decode() for x in host[:50]), *v, *(x.decode() for x in host[50:100])])))
+    got = dec.find(spark, spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    found = {(r.doc_id, r.item_id) for r in got.collect()}
+    by_id = dict(rows)
+    for kind in range(2):
+        want = {(2 * k + kind, k) for k, text in items if every_pair([(0, by_id[2 * k + kind])], [dec.Item(k, text)])}
+        assert len(want) > 0.9 * many and len(want & found) >= 0.9 * len(want)
+
+
 def test_empty_sides(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet").limit(5)
     bench = spark.read.parquet(f"{sf}/benchmark.parquet")
