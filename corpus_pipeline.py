@@ -19,8 +19,8 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def ngram_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays: the one with the smallest id."""
-    return near_duplicates.distinct(spark, docs)
+    """One document of each group of near copies, 0.8 or more of their 5-word shingles, stays: the one with the smallest id."""
+    return near_duplicates.distinct(spark, docs, 80, words=5)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

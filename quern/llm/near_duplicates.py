@@ -1,6 +1,6 @@
 """N-gram Jaccard join of documents by a grouped prefix join.
 
-1. Every text becomes its set of hashed 3-word shingles; equal sets are one class.
+1. Every text becomes its set of hashed shingles of ``words`` words, 3 unless asked otherwise; equal sets are one class.
 2. Two sets with Jaccard similarity t share a shingle among the first ``|x| - ceil(t|x|) + 1`` of each
    (prefix filter), whatever the global order. A first order puts the shingles with a hash in the lowest
    fifth in front, by the number of classes that hold them, rarest first: counting only a fifth keeps the
@@ -16,8 +16,8 @@ neighbours in each bucket, a linear number of pairs; the exact round then joins
 components, those outside a bucket's most common component with all. So a bucket of thousands of near copies
 makes no square of pairs, and no link between components is lost.
 
-Defined results: null texts and texts without words have no shingles and link with nothing; texts of one or
-two words are one shingle; equal sets link even under different ids; a null doc_id is never a component's
+Defined results: null texts and texts without words have no shingles and link with nothing; texts of fewer
+words than a shingle are one shingle; equal sets link even under different ids; a null doc_id is never a component's
 name unless it has no other; repeated rows are returned each; an empty table gives an empty result; texts are
 never shortened; extra columns are not carried by ``find`` and all kept by ``distinct``.
 """
@@ -64,7 +64,7 @@ def _bitmap(s: np.ndarray) -> np.ndarray:
     return np.packbits(there, bitorder="little").view(np.uint64)
 
 
-def _sets(spark: SparkSession, docs: DataFrame, similarity: int) -> DataFrame:
+def _sets(spark: SparkSession, docs: DataFrame, similarity: int, words: int) -> DataFrame:
     """doc_id, n, cid (digest of the set; null if empty) and pool (shingles that the prefix is taken from)."""
     ship(spark)
 
@@ -74,7 +74,7 @@ def _sets(spark: SparkSession, docs: DataFrame, similarity: int) -> DataFrame:
                 part = b.slice(at, 500)
                 n, cid, pool = [], [], []
                 for text in part.column("text").cast(pa.binary()).to_pylist():
-                    s = shingles(text, WORDS)
+                    s = shingles(text, words)
                     n.append(len(s))
                     cid.append(hashlib.blake2b(s.astype("<u8").tobytes(), digest_size=16).digest() if len(s) else None)
                     low = int(np.searchsorted(s, np.uint64(POOL)))
@@ -85,7 +85,7 @@ def _sets(spark: SparkSession, docs: DataFrame, similarity: int) -> DataFrame:
     return docs.mapInArrow(run, f"doc_id {kind}, n long, cid binary, pool array<long>")
 
 
-def _full_sets(spark: SparkSession, given: DataFrame, wanted: DataFrame) -> DataFrame:
+def _full_sets(spark: SparkSession, given: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
     """nid, n, pool, bits: the whole sets of the classes wanted (nid, cid, rep), and their bitmaps.
 
     A bitmap of BITS hashed ids, 2 MB whatever the input, tells which rows to hash again; rows that it lets
@@ -102,7 +102,7 @@ def _full_sets(spark: SparkSession, given: DataFrame, wanted: DataFrame) -> Data
             h = b.column("h").to_numpy() - 1
             b = b.filter(pa.array((bits[h >> 3] >> (h & 7).astype(np.uint8)) & 1 == 1))
             for at in range(0, b.num_rows, 200):
-                sets = [shingles(t, WORDS) for t in b.slice(at, 200).column("text").cast(pa.binary()).to_pylist()]
+                sets = [shingles(t, words) for t in b.slice(at, 200).column("text").cast(pa.binary()).to_pylist()]
                 sets = [s for s in sets if len(s)]
                 cid = [hashlib.blake2b(s.astype("<u8").tobytes(), digest_size=16).digest() for s in sets]
                 yield pa.RecordBatch.from_arrays([pa.array(cid, pa.binary()), _lists(sets), _lists([_bitmap(x) for x in sets])], names=["k", "pool", "bits"])
@@ -218,10 +218,10 @@ def _last_round(spark: SparkSession, w: DataFrame, roots: DataFrame, similarity:
     return left.join(member.select(F.col("nid").alias("b"), F.col("gid").alias("b_gid"), F.col("comp").alias("b_comp")), ["b_gid", "b_comp"]).select("a", "b")
 
 
-def find(spark: SparkSession, docs: DataFrame, similarity: int = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def find(spark: SparkSession, docs: DataFrame, similarity: int = SIMILARITY, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS) -> DataFrame:
     """doc_id, n_shingles, component_id of every row."""
     given = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    sets, sets_at = write_table(spark, _sets(spark, given, similarity), "near-sets")
+    sets, sets_at = write_table(spark, _sets(spark, given, similarity, words), "near-sets")
     rows, _ = write_table(spark, sets.select("doc_id", "n", "cid"), "near-rows")
     one = sets.where("cid IS NOT NULL").groupBy("cid").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("pool").alias("pool"))
     pools, pools_at = write_table(spark, one.withColumn("nid", F.monotonically_increasing_id()), "near-pools")
@@ -231,7 +231,7 @@ def find(spark: SparkSession, docs: DataFrame, similarity: int = SIMILARITY, id_
     drop_table(spark, pools_at)
     release(spark)
 
-    full, full_at = write_table(spark, _full_sets(spark, given, classes.join(some, "nid", "left_semi")), "near-full")
+    full, full_at = write_table(spark, _full_sets(spark, given, classes.join(some, "nid", "left_semi"), words), "near-full")
     w, _ = write_table(spark, _grouped(_prefixes(full, similarity), full), "near-prefixes")
     release(spark)
     first, _ = write_table(spark, _verify(_first_round(w, similarity), full, similarity), "near-links")
@@ -251,9 +251,9 @@ def find(spark: SparkSession, docs: DataFrame, similarity: int = SIMILARITY, id_
     return out.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"))
 
 
-def distinct(spark: SparkSession, docs: DataFrame, similarity: int = SIMILARITY) -> DataFrame:
+def distinct(spark: SparkSession, docs: DataFrame, similarity: int = SIMILARITY, words: int = WORDS) -> DataFrame:
     """The rows of docs, all columns, that give their component its name; of repeated ids, one row stays."""
-    found, _ = write_table(spark, find(spark, docs, similarity), "near-found")
+    found, _ = write_table(spark, find(spark, docs, similarity, words=words), "near-found")
     keep = found.where("doc_id = component_id OR doc_id IS NULL").select("doc_id").distinct()
     kept = docs.alias("d").join(keep.alias("k"), F.col("d.doc_id").eqNullSafe(F.col("k.doc_id")), "left_semi").select("d.*")
     if found.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").isEmpty():

@@ -5,6 +5,7 @@ import re
 
 import pytest
 
+import corpus_pipeline
 from quern.llm import near_duplicates, shingles
 from quern.llm.components import components
 
@@ -78,6 +79,46 @@ def test_the_table(spark, sf):
     assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == sorted({c for i, _, c in want if i == c})
 
 
+def brute_five(rows):
+    """Ids named by components at five words and 0.8, over all pairs of rows with text; ids are distinct."""
+    sets = {}
+    for i, text in rows:
+        w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+        sets[i] = {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
+    root = {i: i for i in sets}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    by = {}
+    for i, s in sets.items():
+        for x in s:
+            by.setdefault(x, set()).add(i)
+    for i, j in {(i, j) for group in by.values() for i in group for j in group if i < j}:
+        both = len(sets[i] & sets[j])
+        if 10 * both >= 8 * (len(sets[i]) + len(sets[j]) - both):
+            a, b = find(i), find(j)
+            root[max(a, b)] = min(a, b)
+    return sorted({find(i) for i in sets})
+
+
+def test_stage_links_at_five_words_and_eighty_hundredths(spark, sf):
+    rng = random.Random(9)
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
+    for k in range(40):  # copies with one to four words changed: 5 words and 0.8 link some that 3 words and 0.9 don't
+        w = [f"w{rng.randrange(1000)}" for _ in range(100)]
+        v = list(w)
+        for i in rng.sample(range(100), 1 + k % 4):
+            v[i] = "zz"
+        rows += [(50_000 + 2 * k, " ".join(w)), (50_001 + 2 * k, " ".join(v))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = brute_five(rows)
+    assert want != sorted({c for i, _, c in brute(rows) if i == c})
+    assert sorted(r.doc_id for r in corpus_pipeline.ngram_jaccard(spark, docs, sf).collect()) == want
+
+
 def test_empty_table_and_shingles(spark):
     assert near_duplicates.find(spark, spark.createDataFrame([], DOCS)).count() == 0
     assert len(shingles.shingles("a b c d".encode())) == 2 and len(shingles.shingles(b"A b")) == 1
