@@ -83,8 +83,24 @@ def best_fit(lengths: np.ndarray, capacity: int) -> list[list[int]]:
     return bins
 
 
-def improve(lengths: np.ndarray, bins: list[list[int]], capacity: int, effort: int = 4000) -> list[list[int]]:
-    """Local search between underfull bins. ``effort`` bounds the exchanges tried."""
+def _gives(own: list[int], size: np.ndarray) -> dict[int, list[int]]:
+    """By total size: one piece of own, or two where no single one has that size."""
+    by: dict[int, list[int]] = {}
+    for x in own:
+        by.setdefault(int(size[x]), []).append(x)
+    out = {n: xs[:1] for n, xs in by.items()}
+    sizes = sorted(by)
+    for i, n in enumerate(sizes):
+        for m in sizes[i:]:
+            if n != m:
+                out.setdefault(n + m, [by[n][0], by[m][0]])
+            elif len(by[n]) > 1:
+                out.setdefault(2 * n, by[n][:2])
+    return out
+
+
+def improve(lengths: np.ndarray, bins: list[list[int]], capacity: int) -> list[list[int]]:
+    """Local search between underfull bins, until a whole pass over the donors finds no exchange."""
     home = np.empty(len(lengths), dtype=np.int64)
     for b, items in enumerate(bins):
         home[items] = b
@@ -93,48 +109,52 @@ def improve(lengths: np.ndarray, bins: list[list[int]], capacity: int, effort: i
     # As many bins as can go at all.
     spare = int((capacity - fill[loose]).sum()) // capacity
     item = np.flatnonzero(np.isin(home, loose))
-    size = lengths[item].astype(np.int64)
+    item = item[np.argsort(lengths[item], kind="stable")]  # pieces of one size stand together
+    size, at = lengths[item].astype(np.int64), home[item]
+    sizes, starts = np.unique(size, return_index=True)
+    ends = np.append(starts[1:], len(size))
+    held: dict[int, list[int]] = {}
+    for x, b in enumerate(at.tolist()):
+        held.setdefault(b, []).append(x)
     changed = True
     while changed and spare > 0:  # an exchange may have made room for an earlier donor
         changed = False
         for donor in loose[np.argsort(fill[loose], kind="stable")].tolist():
-            if not fill[donor] or spare <= 0 or effort <= 0:
+            if not fill[donor] or spare <= 0:
                 continue
-            while fill[donor] and effort > 0:
-                effort -= 1
-                own = np.flatnonzero(home[item] == donor)
-                own = own[np.argsort(-size[own], kind="stable")]
+            while fill[donor]:
+                own = held[donor]
                 room = capacity - fill
+                room[(fill < fill[donor]) | (fill == 0)] = -1
                 room[donor] = -1
-                room[fill == 0] = -1
-                room[fill < fill[donor]] = -1
-                step = None
-                for x in own.tolist():  # move: the fullest bin that has room
-                    fit = np.flatnonzero(room >= size[x])
-                    if len(fit):
-                        step = ([x], int(fit[np.argmin(room[fit])]), [])
+                most = int(room.max())
+                fits = [x for x in own if size[x] <= most]
+                if fits:  # move: the fullest bin that has room
+                    x = max(fits, key=lambda x: size[x])
+                    give, to, back = [x], int(np.argmin(np.where(room >= size[x], room, capacity + 1))), []
+                else:  # one-for-one or two-for-one, whichever gives most away
+                    open_ = room[at]
+                    top = np.maximum.reduceat(open_, starts)
+                    gives = _gives(own, size)
+                    totals = np.array(sorted(gives))
+                    # For each size that may come back, the largest total that its roomiest bin can take instead.
+                    best = np.searchsorted(totals, sizes + top, side="right") - 1
+                    gain = np.where((top > 0) & (best >= 0), totals[best] - sizes, 0)
+                    j = int(np.argmax(gain))
+                    if gain[j] <= 0:
                         break
-                if step is None:
-                    other, open_ = home[item], room[home[item]]
-                    best = 0
-                    pairs = [[x] for x in own.tolist()] + [[x, y] for k, x in enumerate(own.tolist()) for y in own.tolist()[k + 1 :]][:200]
-                    for give in pairs:  # one-for-one, then two-for-one
-                        gain = size[give].sum() - size
-                        gain = np.where((gain > best) & (gain <= open_) & (fill[donor] - gain >= 0), gain, 0)
-                        k = int(np.argmax(gain))
-                        if gain[k] > best:
-                            best, step = int(gain[k]), (give, int(other[k]), [k])
-                if step is None:
-                    break
-                give, to, back = step
+                    k = int(starts[j] + np.argmax(open_[starts[j] : ends[j]] >= gain[j]))
+                    give, to, back = gives[int(totals[best[j]])], int(at[k]), [k]
                 moved = int(size[give].sum() - size[back].sum())
-                home[item[give]] = to
-                home[item[back]] = donor
+                held[donor] = [x for x in own if x not in give] + back
+                held[to] = [x for x in held[to] if x not in back] + give
+                at[give], at[back] = to, donor
                 fill[to] += moved
                 fill[donor] -= moved
                 changed = True
             if not fill[donor]:
                 spare -= 1
+    home[item] = at
     out: dict[int, list[int]] = {}
     for i, b in enumerate(home.tolist()):
         out.setdefault(b, []).append(i)

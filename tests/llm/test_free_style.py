@@ -95,6 +95,24 @@ def test_local_search_empties_a_bin():
     assert all(lengths[b].sum() <= 10 for b in got)
 
 
+def test_local_search_leaves_no_exchange():
+    lengths = np.random.default_rng(7).integers(600, 1101, 50_000)
+    got = packing.improve(lengths, packing.best_fit(lengths, 2048), 2048)
+    assert sorted(i for b in got for i in b) == list(range(50_000))
+    home = np.empty(50_000, int)
+    for b, items in enumerate(got):
+        home[items] = b
+    fill = np.bincount(home, weights=lengths).astype(int)
+    assert fill.max() <= 2048
+    for donor in np.flatnonzero(fill < 2048)[::40]:
+        room = np.where((fill >= fill[donor]) & (np.arange(len(fill)) != donor), 2048 - fill, -1)
+        own = lengths[got[donor]].tolist()
+        assert min(own) > room.max()
+        for give in own + [a + b for k, a in enumerate(own) for b in own[:k]]:
+            gain = give - lengths
+            assert not ((gain > 0) & (gain <= room[home])).any()
+
+
 @pytest.mark.parametrize("odd", [True, False])
 def test_token_files_round_trip(spark, sf, odd):
     docs = documents(spark, sf, odd)
