@@ -90,6 +90,14 @@ def test_empty_sides(spark, sf):
     assert dec.find(spark, docs, odd).count() == 0
 
 
+def test_items_with_a_null_id(spark):
+    texts = ["".join(f"{c}{i} " for i in range(35)) for c in "abc"]
+    docs = spark.createDataFrame([(k, "start of it " + t + "and the end") for k, t in enumerate(texts)], "doc_id long, text string")
+    bench = spark.createDataFrame([(None, texts[0]), (7, texts[1])], "item_id long, text string")
+    assert sorted((r.doc_id, r.item_id) for r in dec.find(spark, docs, bench).collect()) == [(0, None), (1, 7)]
+    assert [r.doc_id for r in dec.clean(spark, docs, bench).collect()] == [2]
+
+
 @pytest.fixture(scope="module")
 def stages(spark, sf):
     docs, out = spark.read.parquet(f"{sf}/documents.parquet"), []
