@@ -46,7 +46,7 @@ def cut(spark: SparkSession, docs: DataFrame, capacity: int = CAPACITY, keep_ids
         enc = tokens.encoder(path)
         for b in batches:
             rows, at = [], []
-            for k, ids in enumerate(enc.encode(b.column("text_").to_pylist())):
+            for k, ids in enumerate(enc.encode(b.column("text_"))):
                 ids += end
                 for i, start in enumerate(range(0, len(ids), 4 * capacity)):
                     part = ids[start : start + 4 * capacity]

@@ -150,7 +150,7 @@ def write(spark: SparkSession, docs: DataFrame, path: str, tokenizer: str | None
         for b in batches:
             for at in range(0, b.num_rows, 1000):
                 part = b.slice(at, 1000)
-                ids = [np.frombuffer(x + end, "<u4").astype(width).tobytes() for x in enc.encode(part.column("text_").to_pylist())]
+                ids = [np.frombuffer(x + end, "<u4").astype(width).tobytes() for x in enc.encode(part.column("text_"))]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(ids, pa.binary())], names=["doc_id", "ids"])
 
     raw, raw_at = write_table(spark, given.mapInArrow(tokenize, "doc_id long, ids binary"), "ids")
