@@ -28,7 +28,7 @@ KINDS = ("email", "ip", "card", "phone", "secret")
 EMAIL = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++\.[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)*+"
 IP = r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
-SECRET = r"(?i:password|passwd|pwd|token|secret|api[_-]?key)\x20?[=:]\x20?\"?[A-Za-z0-9_/+-]{8,200}+\"?|(?<![A-Za-z0-9])AKIA[0-9A-Z]{16}(?![A-Za-z0-9])"
+SECRET = r"(?i:password|passwd|pwd|token|secret|api[_-]?key)\x20?[=:]\x20?\"?[A-Za-z0-9_/+-]{8,}+\"?|(?<![A-Za-z0-9])AKIA[0-9A-Z]{16}(?![A-Za-z0-9])"
 #: Separators that don't stand between two digits are taken out first; what is left is a plain run.
 LOOSE = r"(?<![0-9])[\x20-]|[\x20-](?![0-9])"
 CARD = r"[0-9][0-9\x20-]*+"
@@ -148,13 +148,14 @@ def candidates(docs: DataFrame, text_col: str = "text") -> DataFrame:
     none = F.expr(f"cast(array() as {SPAN})")
     df = docs.withColumn("text_", text)
     t = F.col("text_")
-    # Most texts have none of a kind; one look decides.
+    # Most texts have none of a kind; a look for the characters that it needs, then for the pattern, decides.
+    df = df.withColumn("digit_", t.rlike("[0-9]"))
     there = {
         "email": t.contains("@"),
-        "ip": t.rlike(IP),
-        "card": t.rlike(CARD_THERE),
-        "phone": t.rlike(PHONE),
-        "secret": t.rlike(SECRET),
+        "ip": F.when(F.col("digit_"), t.rlike(IP)).otherwise(False),
+        "card": F.when(F.col("digit_"), t.rlike(CARD_THERE)).otherwise(False),
+        "phone": F.when(F.col("digit_") & t.contains("+"), t.rlike(PHONE)).otherwise(False),
+        "secret": F.when(t.contains("=") | t.contains(":") | t.contains("AKIA"), t.rlike(SECRET)).otherwise(False),
     }
     df = df.withColumns({f"there_{k}": c for k, c in there.items()})
     df = df.withColumn("loose_", F.when(F.col("there_card"), F.regexp_replace(t, LOOSE, "_")))
@@ -168,7 +169,7 @@ def candidates(docs: DataFrame, text_col: str = "text") -> DataFrame:
     }
     each = [F.when(F.col(f"there_{k}"), made[k]).otherwise(none) for k in KINDS]
     df = df.withColumn("spans_", F.concat(*each).cast(SPAN))
-    return df.drop("text_", "loose_", *[f"there_{k}" for k in KINDS])
+    return df.drop("text_", "loose_", "digit_", *[f"there_{k}" for k in KINDS])
 
 
 def fit_labelers(counts: dict[str, dict[str, float]], rounds: int = 50) -> dict[str, dict[str, float]]:
@@ -203,19 +204,30 @@ def train(spans: DataFrame) -> tuple[dict[str, float], dict[str, float]]:
             at = counts.setdefault(r["kind"], {})
             at[r["votes"]] = at.get(r["votes"], 0) + r["n"]
     post = fit_labelers(counts)
+    return span_classifier(counts, post, {(r["kind"], r["shape"], r["votes"]): r["n"] for r in rows})
+
+
+def span_classifier(counts: dict[str, dict[str, float]], post: dict[str, dict[str, float]], shapes: dict[tuple[str, str, str], float]) -> tuple[dict[str, float], dict[str, float]]:
+    """Naive Bayes on soft labels. counts: by kind and votes. shapes: by kind, shape value and votes.
+
+    The likelihoods of a feature's values sum to 1 in each class: half a span is added to each value, and to the
+    class's total as often as the feature has values, so a class without spans speaks neither for nor against any.
+    """
     soft: dict[tuple[str, str], list[float]] = {}
-    for r in sorted(rows, key=lambda r: (r["kind"], r["shape"], r["votes"])):
-        p, at = post[r["kind"]][r["votes"]], soft.setdefault((r["kind"], r["shape"]), [0.5, 0.5])
-        at[1] += r["n"] * p
-        at[0] += r["n"] * (1 - p)
-    prior, weights = {}, {}
-    for kind, patterns in counts.items():
-        real = 0.5 + sum(n * post[kind][v] for v, n in patterns.items())
-        rest = 0.5 + sum(n * (1 - post[kind][v]) for v, n in patterns.items())
-        prior[kind] = math.log(real / rest)
-        for (k, shape), (no, yes) in soft.items():
-            if k == kind:
-                weights[f"{kind} {shape}"] = math.log(yes / real) - math.log(no / rest)
+    for (kind, shape, votes), n in sorted(shapes.items()):
+        at = soft.setdefault((kind, shape), [0.5, 0.5])
+        at[1] += n * post[kind][votes]
+        at[0] += n * (1 - post[kind][votes])
+    values: dict[tuple[str, str], int] = {}
+    for kind, shape in soft:
+        feature = (kind, shape.split(":")[0])
+        values[feature] = values.get(feature, 0) + 1
+    total = {kind: [sum(n * (post[kind][v] if y else 1 - post[kind][v]) for v, n in patterns.items()) for y in (0, 1)] for kind, patterns in counts.items()}
+    prior = {kind: math.log((real + 0.5) / (rest + 0.5)) for kind, (rest, real) in total.items()}
+    weights = {}
+    for (kind, shape), (no, yes) in soft.items():
+        rest, real = (x + 0.5 * values[kind, shape.split(":")[0]] for x in total[kind])
+        weights[f"{kind} {shape}"] = math.log(yes / real) - math.log(no / rest)
     return prior, weights
 
 
