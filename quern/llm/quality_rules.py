@@ -1,14 +1,18 @@
 """Quality rules with risk-controlled cutoffs.
 
-A row of counts is made of each whole text. Per stratum and metric, the lowest cutoff of a fixed grid is
-taken for which an exact binomial test on labelled good documents shows that it rejects at most ``risk`` of
-them; the tests of all strata, metrics and cutoffs share the error ``delta`` (Bonferroni), and the metrics
-share ``risk``. Where no cutoff can be shown to be safe, the metric rejects nothing in that stratum.
+A row of counts is made of each whole text. Per stratum and metric, the cutoffs of a fixed grid are tested one
+after another from loose to strict: an exact binomial test on labelled good documents has to show that a cutoff
+rejects at most the metric's part of ``risk``, and the last one before the first failure is taken. The order is
+fixed beforehand, so a sequence as a whole has the error of one test; the sequences, one for each stratum and metric,
+share ``delta`` (Bonferroni), and the metrics share ``risk``. Where not even the loosest cutoff can be shown to be
+safe, the metric rejects nothing in that stratum: with 4 strata, and none of its good documents over a cutoff, a
+stratum needs 459 of them (``least_labels``).
 
 Defined results: a null or empty text has no words, fails the base rule and is not kept; a null stratum is a
-stratum of its own; texts are never shortened; repeated rows are judged each; labels without a document, and
-documents without a label, take no part in the calibration; several labels of a document count as good if
-one is. An empty table gives an empty result. Extra columns of the input are not carried.
+stratum of its own; texts are never shortened; repeated rows are judged each, but a doc_id is calibrated on once, by
+its row of least counts, so that trials are independent; labels without a document, and documents without a label,
+take no part in the calibration; several labels of a document count as good if one is. An empty table gives an empty
+result. Extra columns of the input are not carried.
 """
 
 from __future__ import annotations
@@ -96,20 +100,30 @@ def at_most(k: int, n: int, p: float) -> float:
     return min(1.0, total)
 
 
+def least_labels(sequences: int, risk: float, delta: float) -> int:
+    """Good documents that a stratum needs for any cutoff, none of them being over it."""
+    return math.ceil(math.log(delta / sequences) / math.log1p(-risk / len(GRID)))
+
+
 def calibrate(counted: DataFrame, labels: DataFrame, risk: float = 0.05, delta: float = 0.05) -> dict[str, dict[str, float]]:
-    """Cutoffs by stratum and metric. Only a row of counts per stratum reaches the driver."""
+    """Cutoffs by stratum and metric. Only a row of counts per stratum with labels enough reaches the driver."""
     good = labels.groupBy(F.col("doc_id").alias("label_id")).agg(F.max("quality").alias("quality")).where(F.col("quality") == 1)
     held = counted.where(~base_failed()).join(good, F.col("doc_id") == F.col("label_id"))
+    held = held.groupBy("doc_id").agg(F.min(F.struct(*[c for c in counted.columns if c != "doc_id"])).alias("row")).select("row.*")
     metrics = _metrics()
     over = [F.sum((metrics[m] > t).cast("long")).alias(f"{m}_{i}") for m, grid in GRID.items() for i, t in enumerate(grid)]
-    rows = held.groupBy("stratum").agg(F.count(F.lit(1)).alias("n"), *over).collect()
-    tests = len(rows) * sum(map(len, GRID.values()))
+    by_stratum = held.groupBy("stratum").agg(F.count(F.lit(1)).alias("n"), *over)
+    strata = by_stratum.count()
+    if not strata:
+        return {}
+    sequences = strata * len(GRID)
     cutoffs: dict[str, dict[str, float]] = {}
-    for row in rows:
+    for row in by_stratum.where(F.col("n") >= least_labels(sequences, risk, delta)).collect():
         for m, grid in GRID.items():
-            safe = [t for i, t in enumerate(grid) if at_most(row[f"{m}_{i}"], row["n"], risk / len(GRID)) <= delta / tests]
-            if safe:
-                cutoffs.setdefault(row["stratum"], {})[m] = min(safe)
+            for i, t in sorted(enumerate(grid), key=lambda x: -x[1]):
+                if at_most(row[f"{m}_{i}"], row["n"], risk / len(GRID)) > delta / sequences:
+                    break
+                cutoffs.setdefault(row["stratum"], {})[m] = t
     return cutoffs
 
 
