@@ -2,21 +2,28 @@
 
 Calls and results are reduced to one row per conversation and identifier (so repeated turns can't multiply),
 then hash-joined on both. A call's arguments are checked against the schema of its tool, and each exchange
-becomes one line of canonical JSON: keys sorted, no spaces, characters beyond ASCII as they are. Arguments
-may name another call of the conversation (``{"$ref": id}``); an exchange's ``level`` is the length of the
-longest chain of such references below it, so ordering by (conv_id, level, turn, call_id) is topological. A
-level needs no window over a conversation: levels come from rounds of joins over the referring calls only.
+becomes one line of canonical JSON: keys sorted, no spaces, characters beyond ASCII as they are, halves of
+surrogate pairs escaped. Arguments may name another call of the conversation (``{"$ref": id}``); an exchange's
+``level`` is the length of the longest chain of such references below it, so ordering by (conv_id, level, turn,
+call_id) is topological. No conversation is gathered: chains of calls with one reference each are followed by
+pointer doubling, in rounds that grow with the logarithm of their length, and the calls with several references
+by a round of joins for each level among themselves.
 
 Defined results: ``linked``; ``missing_result`` and ``orphan_result`` where one side is absent;
 ``invalid_arguments``; ``cycle`` where references don't end (level null), which a reference to an absent
 call doesn't cause. Null text is an empty text; null conversation or turn numbers form identifiers of their
-own (joined null-safe). Of repeated calls or results the smallest text stands, and n_calls and n_results
-count them. An empty table gives an empty result; extra columns are not carried.
+own (joined null-safe). Of repeated calls or results the whole row of the earliest turn stands (a null turn is the
+earliest; of one turn, the smallest text), n_calls and n_results count them, and ``clash`` says whether texts
+differ: ``calls``, ``results``, ``both``, or null. A text that isn't JSON by the standard (NaN, numbers beyond
+double precision, nesting that the parser refuses) is no JSON call and is taken as plain text. Values may be nested
+as deep as the parser takes them. An empty table gives an empty result; extra columns are not carried.
 """
 
 from __future__ import annotations
 
 import json
+import math
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -30,40 +37,97 @@ SCHEMAS = {"reply": {"type": "object", "required": ["text"], "properties": {"tex
 _TYPES = {"object": dict, "array": list, "string": str, "boolean": bool, "null": type(None)}
 
 
-def canonical(value: object) -> str:
-    return json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
+_HALF = re.compile("[\ud800-\udfff]")
 
 
-def conforms(value: object, schema: dict) -> bool:
-    """type, required, properties, additionalProperties, items, enum, minLength, minimum and maximum of JSON Schema. References pass."""
-    if isinstance(value, dict) and set(value) == {"$ref"}:
-        return True
+def safe(text: str) -> str:
+    """Halves of surrogate pairs, which no UTF-8 text can hold, as escapes."""
+    return _HALF.sub(lambda m: f"\\u{ord(m[0]):04x}", text)
+
+
+def strict(text: str) -> object:
+    """The value of a JSON text; ValueError if it isn't JSON, or holds a number that a double can't."""
+
+    def number(x: str) -> float:
+        if math.isinf(value := float(x)):
+            raise ValueError(x)
+        return value
+
+    def refuse(x: str) -> float:
+        raise ValueError(x)
+
+    return json.loads(text, parse_float=number, parse_constant=refuse)
+
+
+class _Mark(str):
+    """A piece of JSON that is written as it is."""
+
+
+def canonical(value: object) -> str:
+    """Without recursion, as values may be nested deep."""
+    text = lambda x: safe(json.dumps(x, ensure_ascii=False))
+    out: list[str] = []
+    todo = [value]
+    while todo:
+        x = todo.pop()
+        if isinstance(x, _Mark):
+            out.append(x)
+        elif isinstance(x, dict) and x:
+            todo.append(_Mark("}"))
+            for i, k in enumerate(sorted(x, reverse=True)):
+                todo += [x[k], _Mark(("{" if i == len(x) - 1 else ",") + text(k) + ":")]
+        elif isinstance(x, list) and x:
+            todo.append(_Mark("]"))
+            for i in range(len(x) - 1, -1, -1):
+                todo += [x[i], _Mark("," if i else "[")]
+        else:
+            out.append(text(x))
+    return "".join(out)
+
+
+def _fits(value: object, schema: dict) -> bool:
+    """The value itself; what it holds is looked at by conforms()."""
     kind = schema.get("type")
     number = isinstance(value, (int, float)) and not isinstance(value, bool)
-    if kind == "integer" and not (number and float(value).is_integer()) or kind == "number" and not number or kind in _TYPES and not isinstance(value, _TYPES[kind]):
+    if kind == "integer" and not (number and (isinstance(value, int) or value.is_integer())) or kind == "number" and not number or kind in _TYPES and not isinstance(value, _TYPES[kind]):
         return False
-    if "enum" in schema and value not in schema["enum"]:
+    if "enum" in schema and not any(type(x) is type(value) and x == value for x in schema["enum"]):
         return False
     if number and not schema.get("minimum", value) <= value <= schema.get("maximum", value):
         return False
     if isinstance(value, str) and len(value) < schema.get("minLength", 0):
         return False
-    if isinstance(value, list):
-        return all(conforms(x, schema.get("items", {})) for x in value)
     if isinstance(value, dict):
         own = schema.get("properties", {})
-        if any(k not in value for k in schema.get("required", [])) or schema.get("additionalProperties") is False and any(k not in own for k in value):
+        return all(k in value for k in schema.get("required", [])) and not (schema.get("additionalProperties") is False and any(k not in own for k in value))
+    return True
+
+
+def conforms(value: object, schema: dict) -> bool:
+    """type, required, properties, additionalProperties, items, enum, minLength, minimum and maximum of JSON Schema. References pass."""
+    todo = [(value, schema)]
+    while todo:
+        x, s = todo.pop()
+        if isinstance(x, dict) and set(x) == {"$ref"}:
+            continue
+        if not _fits(x, s):
             return False
-        return all(conforms(x, own.get(k, {})) for k, x in value.items())
+        if isinstance(x, dict):
+            todo += [(y, s.get("properties", {}).get(k, {})) for k, y in x.items()]
+        elif isinstance(x, list):
+            todo += [(y, s.get("items", {})) for y in x]
     return True
 
 
 def references(value: object) -> list[str]:
-    if isinstance(value, dict):
-        if set(value) == {"$ref"}:
-            return [str(value["$ref"])]
-        return [r for x in value.values() for r in references(x)]
-    return [r for x in value for r in references(x)] if isinstance(value, list) else []
+    out, todo = [], [value]
+    while todo:
+        x = todo.pop()
+        if isinstance(x, dict) and set(x) == {"$ref"}:
+            out.append(safe(x["$ref"]) if isinstance(x["$ref"], str) else canonical(x["$ref"]))
+        elif isinstance(x, (dict, list)):
+            todo += x.values() if isinstance(x, dict) else x
+    return out
 
 
 def from_turns(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -80,10 +144,14 @@ def from_turns(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def link(spark: SparkSession, calls: DataFrame, results: DataFrame, schemas: dict[str, dict] = SCHEMAS) -> DataFrame:
-    """conv_id, call_id, turn, name, level, n_calls, n_results, status, json of every identifier."""
+    """conv_id, call_id, turn, name, level, n_calls, n_results, clash, status, json of every identifier."""
     ship(spark)
-    c = calls.groupBy("conv_id", "call_id").agg(F.min("turn").alias("turn"), F.min("call").alias("call"), F.count(F.lit(1)).alias("n_calls"))
-    r = results.groupBy(F.col("conv_id").alias("r_conv"), F.col("call_id").alias("r_call")).agg(F.min("turn").alias("r_turn"), F.min("result").alias("result"), F.count(F.lit(1)).alias("n_results"))
+    first = lambda x: F.min(F.struct("turn", x)).alias("first")
+    differ = lambda x: (F.min(x) != F.max(x)).alias("differ")
+    c = calls.groupBy("conv_id", "call_id").agg(first("call"), differ("call"), F.count(F.lit(1)).alias("n_calls"))
+    c = c.select("conv_id", "call_id", "first.turn", "first.call", F.col("differ").alias("c_differ"), "n_calls")
+    r = results.groupBy(F.col("conv_id").alias("r_conv"), F.col("call_id").alias("r_call")).agg(first("result"), differ("result"), F.count(F.lit(1)).alias("n_results"))
+    r = r.select("r_conv", "r_call", F.col("first.turn").alias("r_turn"), "first.result", F.col("differ").alias("r_differ"), "n_results")
     both = c.join(r, F.col("conv_id").eqNullSafe(F.col("r_conv")) & (F.col("call_id") == F.col("r_call")), "full_outer")
     both = both.select(
         F.coalesce("conv_id", "r_conv").alias("conv_id"),
@@ -93,15 +161,16 @@ def link(spark: SparkSession, calls: DataFrame, results: DataFrame, schemas: dic
         "result",
         F.coalesce("n_calls", F.lit(0)).cast("long").alias("n_calls"),
         F.coalesce("n_results", F.lit(0)).cast("long").alias("n_results"),
+        F.when(F.col("c_differ") & F.col("r_differ"), "both").when(F.col("c_differ"), "calls").when(F.col("r_differ"), "results").alias("clash"),
     )
 
     def parse(text: str) -> tuple[str, object]:
         if text.lstrip()[:1] == "{":
             try:
-                value = json.loads(text)
+                value = strict(text)
                 if isinstance(value, dict) and isinstance(value.get("name"), str) and "arguments" in value:
                     args = value["arguments"]
-                    return value["name"], json.loads(args) if isinstance(args, str) else args
+                    return safe(value["name"]), strict(args) if isinstance(args, str) else args
             except (ValueError, RecursionError):
                 pass
         return "reply", {"text": text}
@@ -121,11 +190,12 @@ def link(spark: SparkSession, calls: DataFrame, results: DataFrame, schemas: dic
                 status.append("orphan_result" if call is None else "invalid_arguments" if not good else "missing_result" if result is None else "linked")
                 lines.append(canonical(line))
                 refs.append(sorted(set(references(args))))
-            keep = [b.column(k) for k in ("conv_id", "call_id", "turn", "n_calls", "n_results")]
-            yield pa.RecordBatch.from_arrays([*keep, pa.array(names, pa.string()), pa.array(status, pa.string()), pa.array(lines, pa.string()), pa.array(refs, pa.list_(pa.string()))], names=["conv_id", "call_id", "turn", "n_calls", "n_results", "name", "status", "json", "refs"])
+            keep = ["conv_id", "call_id", "turn", "n_calls", "n_results", "clash"]
+            made = [pa.array(names, pa.string()), pa.array(status, pa.string()), pa.array(lines, pa.string()), pa.array(refs, pa.list_(pa.string()))]
+            yield pa.RecordBatch.from_arrays([*map(b.column, keep), *made], names=[*keep, "name", "status", "json", "refs"])
 
     kind = lambda k: both.schema[k].dataType.simpleString()
-    made = both.mapInArrow(run, f"conv_id {kind('conv_id')}, call_id string, turn {kind('turn')}, n_calls long, n_results long, name string, status string, json string, refs array<string>")
+    made = both.mapInArrow(run, f"conv_id {kind('conv_id')}, call_id string, turn {kind('turn')}, n_calls long, n_results long, clash string, name string, status string, json string, refs array<string>")
     done, _ = write_table(spark, made, "tool-calls")
     levels = _levels(spark, done)
     if levels is None:
@@ -135,29 +205,50 @@ def link(spark: SparkSession, calls: DataFrame, results: DataFrame, schemas: dic
         out = done.join(mine, F.col("conv_id").eqNullSafe(F.col("l_conv")) & (F.col("call_id") == F.col("l_call")), "left")
         out = out.withColumn("level", F.when(F.col("l_call").isNull(), 0).otherwise(F.col("l_level")))
     status = F.when(F.col("level").isNull(), "cycle").otherwise(F.col("status"))
-    return out.select("conv_id", "call_id", "turn", "name", "level", "n_calls", "n_results", status.alias("status"), "json")
+    return out.select("conv_id", "call_id", "turn", "name", "level", "n_calls", "n_results", "clash", status.alias("status"), "json")
 
 
 def _levels(spark: SparkSession, done: DataFrame) -> DataFrame | None:
-    """Levels of the calls that refer to others; null in a cycle. None if no call does."""
-    pairs = done.select("conv_id", "call_id", F.explode("refs").alias("ref"))
+    """conv_id, call_id and level of the calls that refer to others; null in or above a cycle. None if no call does."""
+    named = done.select("conv_id", "call_id", F.explode("refs").alias("ref"))
     there = done.select(F.col("conv_id").alias("t_conv"), F.col("call_id").alias("ref_id"))
-    pairs = pairs.join(there, F.col("conv_id").eqNullSafe(F.col("t_conv")) & (F.col("ref") == F.col("ref_id"))).drop("t_conv", "ref_id")
-    edges, edges_at = write_table(spark, pairs, "tool-refs")
+    named = named.join(there, F.col("conv_id").eqNullSafe(F.col("t_conv")) & (F.col("ref") == F.col("ref_id")))
+    node = lambda conv, call: F.struct(F.col(conv).isNull().alias("none"), F.coalesce(F.col(conv).cast("string"), F.lit("")).alias("conv"), F.col(call).alias("call"))
+    edges, edges_at = write_table(spark, named.select("conv_id", "call_id", node("conv_id", "call_id").alias("u"), node("conv_id", "ref").alias("v")), "tool-refs")
     if edges.isEmpty():
         drop_table(spark, edges_at)
         return None
-    # A call that refers to none is at level 0; the rest wait until all they refer to have a level.
-    level = edges.select("conv_id", "call_id").distinct().withColumn("level", F.lit(None).cast("int"))
-    level, level_at = write_table(spark, level, "tool-levels")
+    degree = edges.groupBy("u").agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("v"))
+    jumps, jumps_at = write_table(spark, degree.where("n = 1").select("u", "v", F.lit(1).cast("long").alias("w")), "tool-jumps")
+    # u is w references above v. After a doubling for each binary digit of their number, a jump that still can go on is in a cycle.
+    for _ in range(max(1, jumps.count()).bit_length() + 1):
+        on = jumps.select(F.col("u").alias("v"), F.col("v").alias("to"), F.col("w").alias("more"))
+        longer = jumps.join(on, "v", "left").select("u", F.coalesce("to", "v").alias("v"), (F.col("w") + F.coalesce("more", F.lit(0))).alias("w"))
+        went = jumps.join(on, "v", "left_semi").isEmpty()
+        if went:
+            break
+        last = jumps_at
+        jumps, jumps_at = write_table(spark, longer, "tool-jumps")
+        drop_table(spark, last)
+    # A jump ends at a call that refers to none (level 0), at one that refers to several, or in a cycle.
+    several = degree.where("n > 1").select("u")
+    ends = jumps.select(F.col("u").alias("v"), F.col("v").alias("end"), "w")
+    loops = jumps.select(F.col("u").alias("end"), F.lit(True).alias("loops"))
+    ahead = edges.join(several, "u", "left_semi").select("u", "v").join(ends, "v", "left")
+    ahead = ahead.select("u", F.coalesce("end", "v").alias("end"), (1 + F.coalesce("w", F.lit(0))).alias("w")).join(loops, "end", "left")
+    ahead, ahead_at = write_table(spark, ahead.join(several.select(F.col("u").alias("end"), F.lit(True).alias("waits")), "end", "left"), "tool-ahead")
+    level, level_at = write_table(spark, several.withColumn("level", F.lit(None).cast("long")), "tool-levels")
     while True:
-        below = level.select(F.col("conv_id").alias("b_conv"), F.col("call_id").alias("b_call"), F.col("level").alias("b_level"), F.lit(True).alias("waits"))
-        seen = edges.join(below, F.col("conv_id").eqNullSafe(F.col("b_conv")) & (F.col("ref") == F.col("b_call")), "left")
-        own = F.when(F.col("waits").isNull(), F.lit(0)).otherwise(F.col("b_level"))
-        now = seen.groupBy("conv_id", "call_id").agg(F.when(F.count(F.lit(1)) == F.count(own), F.max(own) + 1).alias("level"))
+        below = level.select(F.col("u").alias("end"), F.col("level").alias("b_level"))
+        own = F.when(F.col("loops").isNotNull(), None).when(F.col("waits").isNull(), F.lit(0)).otherwise(F.col("b_level"))
+        now = ahead.join(below, "end", "left").groupBy("u").agg(F.when(F.count(F.lit(1)) == F.count(own), F.max(own + F.col("w"))).alias("level"))
         now, now_at = write_table(spark, now, "tool-levels")
         grown = now.where("level IS NOT NULL").count() > level.where("level IS NOT NULL").count()
         drop_table(spark, level_at)
         level, level_at = now, now_at
         if not grown:
-            return level
+            break
+    end = jumps.select("u", F.col("v").alias("end"), "w").join(loops, "end", "left").join(level.select(F.col("u").alias("end"), "level", F.lit(True).alias("waits")), "end", "left")
+    single = end.select("u", F.when(F.col("loops").isNotNull(), None).when(F.col("waits").isNull(), F.col("w")).otherwise(F.col("w") + F.col("level")).alias("level"))
+    levels = single.unionByName(level).select(F.col("u").alias("k"), F.col("level").cast("int").alias("level"))
+    return edges.select("conv_id", "call_id", F.col("u").alias("k")).distinct().join(levels, "k").drop("k")
