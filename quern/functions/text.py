@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -31,14 +33,23 @@ def let(x: Column, f: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(x), f), 0)
 
 
+def _where(s: Column, there: Callable[[Column], Column], change: Callable[[Column], Column]) -> Column:
+    """change(s) where a cheap look says that there is something to change; s is evaluated once."""
+    return let(s, lambda x: F.when(there(x), change(x)).otherwise(x))
+
+
+_WIDE = "".join(chr(c) for c in range(0xFF01, 0xFF5F)) + "　"
+
+
 def full_width_to_half(s: Column) -> Column:
     """U+FF01-FF5E and U+3000 only; other compatibility characters stay."""
-    wide = "".join(chr(c) for c in range(0xFF01, 0xFF5F)) + "　"
-    return F.translate(s, wide, "".join(chr(c - 0xFEE0) for c in range(0xFF01, 0xFF5F)) + " ")
+    beyond_ascii = lambda x: F.octet_length(x) > F.length(x)
+    there = lambda x: F.when(beyond_ascii(x), x.rlike(r"[\x{FF01}-\x{FF5E}\x{3000}]")).otherwise(False)
+    return _where(s, there, lambda x: F.translate(x, _WIDE, "".join(chr(ord(c) - 0xFEE0) for c in _WIDE[:-1]) + " "))
 
 
 def unify_newlines(s: Column) -> Column:
-    return F.regexp_replace(s, "\r\n?", "\n")
+    return _where(s, lambda x: x.contains("\r"), lambda x: F.regexp_replace(x, "\r\n?", "\n"))
 
 
 def strip_control(s: Column) -> Column:
@@ -46,17 +57,18 @@ def strip_control(s: Column) -> Column:
 
 
 def strip_tags(s: Column) -> Column:
-    return F.regexp_replace(s, TAG, "")
+    return _where(s, lambda x: x.contains("<"), lambda x: F.regexp_replace(x, TAG, ""))
 
 
 def strip_urls(s: Column) -> Column:
-    return F.regexp_replace(s, URL, "")
+    return _where(s, lambda x: x.contains("://"), lambda x: F.regexp_replace(x, URL, ""))
 
 
 def mask_pii(s: Column) -> Column:
-    for pattern, mark in MASKS:
-        s = F.regexp_replace(s, pattern, F.lit(mark))
-    return s
+    (number, mark), (phone, phone_mark), (mail, mail_mark) = MASKS
+    numbers = lambda x: F.regexp_replace(F.regexp_replace(x, number, F.lit(mark)), phone, F.lit(phone_mark))
+    s = _where(s, lambda x: x.rlike("[0-9]{11}"), numbers)
+    return _where(s, lambda x: x.contains("@"), lambda x: F.regexp_replace(x, mail, F.lit(mail_mark)))
 
 
 def collapse_spaces(s: Column) -> Column:
@@ -64,7 +76,7 @@ def collapse_spaces(s: Column) -> Column:
 
 
 def collapse_newlines(s: Column) -> Column:
-    return F.regexp_replace(s, "\n{3,}", "\n\n")
+    return _where(s, lambda x: x.contains("\n\n\n"), lambda x: F.regexp_replace(x, "\n{3,}", "\n\n"))
 
 
 def trim(s: Column) -> Column:
@@ -93,18 +105,28 @@ def total_chars(texts: Column) -> Column:
     return F.aggregate(texts, F.lit(0).cast("long"), lambda a, s: a + utf16_length(s))
 
 
-def repeat_ratio(text: Column) -> Column:
-    """Largest share of one character; 0 for fewer than five UTF-16 units besides white space."""
+@F.pandas_udf("double")
+def _worst_share(texts: pd.Series) -> pd.Series:
+    """Of arrays of texts without white space."""
 
-    def worst(s: Column) -> Column:
-        most = F.array_max(F.transform(F.array_distinct(F.split(s, "")), lambda c: F.length(s) - F.length(F.replace(s, c, F.lit("")))))
-        return F.when(utf16_length(s) >= 5, most / utf16_length(s)).otherwise(0.0)
+    def share(s: str | None) -> float:
+        codes = np.frombuffer((s or "").encode("utf-32-le", "surrogatepass"), np.uint32)
+        units = len(codes) + int((codes > 0xFFFF).sum())
+        if units < 5:
+            return 0.0
+        if codes.max() < 1 << 16:
+            return float(np.bincount(codes).max() / units)
+        return float(np.unique(codes, return_counts=True)[1].max() / units)
 
-    return let(without_white(text), worst)
+    return texts.map(lambda a: 0.0 if a is None else max(map(share, a), default=0.0)).astype("float64")
 
 
 def worst_repeat_ratio(texts: Column) -> Column:
-    return F.coalesce(F.array_max(F.transform(texts, repeat_ratio)), F.lit(0.0))
+    """Largest share of one character in any text; 0 for texts of fewer than five UTF-16 units besides white space.
+
+    Counted in Arrow batches, one pass over each text; SQL functions would take a pass for each distinct character.
+    """
+    return _worst_share(F.transform(texts, without_white))
 
 
 def meaningful_ratio(texts: Column) -> Column:
@@ -156,18 +178,6 @@ def round_half_up(x: Column, places: int) -> Column:
     return F.floor(x * 10**places + 0.5) / 10**places
 
 
-def nearest_rank(ordered: Column, q: float) -> Column:
-    """Element of a sorted array at round-half-even(q * (n - 1)); null if empty."""
-    n = F.size(ordered)
-    at = F.bround(F.lit(q) * (n - 1), 0).cast("int")
-    return F.when(n > 0, F.element_at(ordered, F.greatest(F.lit(0), F.least(n - 1, at)) + 1))
-
-
-def cosine(a: Column, b: Column) -> Column:
-    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
-    return dot(a, b) / (F.greatest(F.sqrt(dot(a, a)), F.lit(1e-9)) * F.greatest(F.sqrt(dot(b, b)), F.lit(1e-9)))
-
-
 def contains_ignoring_case(s: Column, part: str) -> Column:
     return F.contains(F.lower(s), F.lit(part.lower()))
 
