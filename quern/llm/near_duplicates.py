@@ -2,9 +2,9 @@
 
 1. Every text becomes its set of hashed shingles of ``words`` words, 3 unless asked otherwise; equal sets are one class.
 2. Two sets with Jaccard similarity t share a shingle among the first ``|x| - ceil(t|x|) + 1`` of each
-   (prefix filter), whatever the global order. A first order puts the shingles with a hash in the lowest
-   fifth in front, by the number of classes that hold them, rarest first: counting only a fifth keeps the
-   shuffle at a fifth, and most classes turn out to share no prefix shingle and leave.
+   (prefix filter), whatever the global order. A first order puts the shingles with a low hash in front (``_pool``
+   of all, somewhat more than a prefix), by the number of classes that hold them, rarest first: the others needn't
+   be counted. A class whose prefix holds only shingles of its own has no partner and leaves; most do.
 3. The classes that are left are ordered anew, by the frequencies of all their shingles among themselves.
    Classes with identical prefixes, size and bitmap are collapsed into one group. Groups that share a shingle
    are filtered by size, by its positions (what comes before the first common shingle is missing from the other
@@ -39,8 +39,6 @@ from .shingles import shingles
 WORDS = 3
 #: Similarity in hundredths.
 SIMILARITY = 90
-#: Hashes below this are ordered by frequency: the lowest fifth.
-POOL = (1 << 64) // 5
 #: Members of a bucket that are put in order together in the first round.
 CHAIN = 5_000
 #: 64-bit words of a set's bitmap, which bounds how much two sets differ.
@@ -49,6 +47,11 @@ MAP = 16
 BITS = 1 << 24
 
 
+def _pool(similarity: int) -> np.uint64:
+    """Hashes below this are ordered by frequency: a tenth more of all than prefixes are."""
+    return np.uint64(min((1 << 64) - 1, (1 << 64) * (110 - similarity) // 100))
+
+
 def _prefix_size(n: int, similarity: int) -> int:
     return n - -(-similarity * n // 100) + 1
 
@@ -77,7 +80,7 @@ def _sets(spark: SparkSession, docs: DataFrame, similarity: int, words: int) ->
                     s = shingles(text, words)
                     n.append(len(s))
                     cid.append(hashlib.blake2b(s.astype("<u8").tobytes(), digest_size=16).digest() if len(s) else None)
-                    low = int(np.searchsorted(s, np.uint64(POOL)))
+                    low = int(np.searchsorted(s, _pool(similarity)))
                     pool.append(s[: max(low, _prefix_size(len(s), similarity) if len(s) else 0)])
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n, pa.int64()), pa.array(cid, pa.binary()), _lists(pool)], names=["doc_id", "n", "cid", "pool"])
 
@@ -116,20 +119,33 @@ def _need(n_a: Column, n_b: Column, similarity: int) -> Column:
     return F.ceil(similarity * (n_a + n_b) / (100 + similarity))
 
 
+def _survivors(classes: DataFrame, similarity: int) -> DataFrame:
+    """nid of the classes whose prefix holds a shingle of another class. classes: nid, n, pool.
+
+    A shingle that only one class holds names it, so counting those takes one aggregation, combined before the
+    shuffle, and no join.
+    """
+    own = classes.select("nid", F.explode("pool").alias("tok")).groupBy("tok").agg(F.count(F.lit(1)).alias("df"), F.min("nid").alias("nid"))
+    own = own.where("df = 1").groupBy(F.col("nid").alias("k")).agg(F.count(F.lit(1)).alias("own"))
+    d = F.col("n") - F.ceil(similarity * F.col("n") / 100) + 1
+    left = classes.select("nid", "n", F.size("pool").alias("m")).join(own, F.col("nid") == F.col("k"), "left").withColumn("own", F.coalesce("own", F.lit(0)))
+    return left.where((F.col("own") < d) & (F.col("own") < F.col("m"))).select("nid")
+
+
 def _prefixes(classes: DataFrame, similarity: int) -> DataFrame:
-    """nid, n, d (prefix size), alone (prefix shingles of no other class), pre (the others, rarest first), last, counted.
+    """nid, n, d (prefix size), alone (prefix shingles of no other class), pre (the others, rarest first), last.
 
-    classes: nid, n, pool (the shingles that come first in the order, or all).
+    classes: nid, n, pool (all shingles).
     """
-    flat = classes.select("nid", "n", F.size("pool").alias("m"), F.explode("pool").alias("tok"))
-    shared = classes.select(F.explode("pool").alias("tok")).groupBy("tok").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
-    held = flat.join(shared, "tok").groupBy("nid", "n", "m").agg(F.sort_array(F.collect_list(F.struct("df", "tok"))).alias("held"))
+    flat = classes.select("nid", F.explode("pool").alias("tok"))
+    shared = flat.groupBy("tok").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+    held = flat.join(shared, "tok").groupBy("nid").agg(F.sort_array(F.collect_list(F.struct("df", "tok"))).alias("held"))
+    held = held.join(classes.select("nid", "n"), "nid")
     d = F.col("n") - F.ceil(similarity * F.col("n") / 100) + 1
-    need = (d - (F.col("m") - F.size("held"))).cast("int")
-    held = held.select("nid", "n", d.alias("d"), need.alias("need"), "held", ((F.col("m") > d) | (F.col("m") == F.col("n"))).alias("counted")).where("need > 0")
+    need = (d - (F.col("n") - F.size("held"))).cast("int")
+    held = held.select("nid", "n", d.alias("d"), need.alias("need"), "held").where("need > 0")
     held = held.withColumn("alone", (F.col("d") - F.col("need")).cast("int")).withColumn("held", F.slice("held", F.lit(1), F.col("need"))).drop("need")
-    last = F.element_at("held", -1)
-    return held.select("nid", "n", "d", "alone", F.transform("held", lambda h: h.tok).alias("pre"), last.alias("last"), "counted")
+    return held.select("nid", "n", "d", "alone", F.transform("held", lambda h: h.tok).alias("pre"), F.element_at("held", -1).alias("last"))
 
 
 def _grouped(prefixes: DataFrame, full: DataFrame) -> DataFrame:
@@ -149,8 +165,7 @@ def _may_match(common: Column, similarity: int) -> Column:
     """Size and positional filters of a_ and b_: the prefix that ends first shows what the other set lacks."""
     need = _need(F.col("a_n"), F.col("b_n"), similarity)
     lacks = lambda x: (F.col(f"{x}_d") - common) > F.col(f"{x}_n") - need
-    counted = F.col("a_counted") & F.col("b_counted")
-    out = F.when(counted & (F.col("a_last") <= F.col("b_last")), lacks("a")).otherwise(F.lit(False)) | F.when(counted & (F.col("b_last") <= F.col("a_last")), lacks("b")).otherwise(F.lit(False))
+    out = F.when(F.col("a_last") <= F.col("b_last"), lacks("a")).otherwise(F.lit(False)) | F.when(F.col("b_last") <= F.col("a_last"), lacks("b")).otherwise(F.lit(False))
     alike = _alike(F.col("a_n"), F.col("a_bits"), F.col("b_n"), F.col("b_bits"), similarity)
     return (100 * F.least("a_n", "b_n") >= similarity * F.greatest("a_n", "b_n")) & ~out & alike
 
@@ -160,21 +175,11 @@ def _side(w: DataFrame, x: str, *names: str) -> DataFrame:
 
 
 def _verify(pairs: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
-    """The pairs a, b whose whole sets are similar enough."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            keep = []
-            for x, y in zip(b.column("s_a"), b.column("s_b"), strict=True):
-                x, y = x.values.to_numpy().view(np.uint64), y.values.to_numpy().view(np.uint64)
-                x, y = (x, y) if len(x) <= len(y) else (y, x)
-                at = np.searchsorted(y, x)
-                both = int(np.count_nonzero(y[np.minimum(at, len(y) - 1)] == x))
-                keep.append(100 * both >= similarity * (len(x) + len(y) - both))
-            yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    left = pairs.join(sets.select(F.col("nid").alias("a"), F.col("pool").alias("s_a")), "a")
-    return left.join(sets.select(F.col("nid").alias("b"), F.col("pool").alias("s_b")), "b").select("a", "b", "s_a", "s_b").mapInArrow(run, "a long, b long")
+    """The pairs a, b whose whole sets are similar enough. Row by row in the JVM, so that no batch of long sets is held."""
+    side = lambda x: sets.select(F.col("nid").alias(x), F.col("pool").alias(f"s_{x}"))
+    both = F.size(F.array_intersect("s_a", "s_b"))
+    alike = 100 * both >= similarity * (F.size("s_a") + F.size("s_b") - both)
+    return pairs.join(side("a"), "a").join(side("b"), "b").where(alike).select("a", "b")
 
 
 def _first_round(w: DataFrame, similarity: int) -> DataFrame:
@@ -188,7 +193,7 @@ def _first_round(w: DataFrame, similarity: int) -> DataFrame:
     chain = Window.partitionBy("tok", "salt").orderBy("n", "first", "end", "nid")
     near = flat.select(F.lag("nid").over(chain).alias("p"), "nid").where("p IS NOT NULL")
     near = near.select(F.least("p", "nid").alias("a_nid"), F.greatest("p", "nid").alias("b_nid")).distinct()
-    names = ("n", "d", "pre", "last", "counted", "bits")
+    names = ("n", "d", "pre", "last", "bits")
     near = near.join(_side(w, "a", *names), "a_nid").join(_side(w, "b", *names), "b_nid")
     near = near.where(_may_match(F.size(F.array_intersect("a_pre", "b_pre")), similarity))
     return star.union(near.select("a_nid", "b_nid"))
@@ -227,7 +232,7 @@ def find(spark: SparkSession, docs: DataFrame, similarity: int = SIMILARITY, id_
     pools, pools_at = write_table(spark, one.withColumn("nid", F.monotonically_increasing_id()), "near-pools")
     drop_table(spark, sets_at)
     classes, _ = write_table(spark, pools.select("nid", "cid", "rep"), "near-classes")
-    some, _ = write_table(spark, _prefixes(pools, similarity).select("nid"), "near-some")
+    some, _ = write_table(spark, _survivors(pools, similarity), "near-some")
     drop_table(spark, pools_at)
     release(spark)
 
