@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: The white space that the cleaning rules know, as the inside of a regex class.
 WHITE = r"\t\n\x0B\f\r \x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}"
@@ -105,7 +106,7 @@ def total_chars(texts: Column) -> Column:
     return F.aggregate(texts, F.lit(0).cast("long"), lambda a, s: a + utf16_length(s))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def _worst_share(texts: pd.Series) -> pd.Series:
     """Of arrays of texts without white space."""
 

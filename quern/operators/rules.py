@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import formats, text
 from ..session import settle
-from .dedupe import greedy, mark_repeats, near_pairs, with_simhash
+from .dedupe import mark_repeats, near_blocked, with_simhash
 
 #: All rules, in reporting order.
 RULES = ("invalid", "empty_after_clean", "dedupe", "fuzzy_dupe", "min_chars", "max_chars", "repeat_ratio", "meaningful_ratio", "ends_assistant", "ppl", "lang", "inst", "semantic_dupe", "topic_downsample")
@@ -134,7 +134,7 @@ def verdicts(records: DataFrame, o: Options | None = None) -> DataFrame:
         on = o.get("fuzzy_dedupe") & (o.get("simhash_distance") > 0) & F.col("early_").isNull()
         hashed = with_simhash(df.where(on).select("line_no", "late_", F.array_join(F.transform("turns", lambda t: t.text), "\n").alias("t")), F.col("t"))
         hashed = settle(hashed.where(F.col("n_tokens") >= o.simhash_min_tokens).drop("t"), "hashes")
-        found = greedy(hashed.select("line_no", F.col("late_").isNull().alias("passes")), near_pairs(hashed, o.simhash_distance))
+        found = near_blocked(hashed.select("line_no", "simhash", F.col("late_").isNull().alias("passes")), o.simhash_distance)
         df = df.join(found, "line_no", "left").withColumn("early_", F.coalesce("early_", F.when(F.col("blocked"), "fuzzy_dupe"))).drop("blocked")
     rule = F.coalesce("early_", "late_")
     metric = threshold = F.lit(None).cast("double")

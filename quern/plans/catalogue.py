@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import formats, hashing, text
 from ..functions.text import WHITE
 from ..operators import dedupe, jobs, rules, scoring, validate
-from ..session import settle, ship
+from ..session import settle, ship, spread
 from . import clean as clean_plan
 
 QUERIES: dict = {}
@@ -26,7 +26,7 @@ def query(sql: str | None = None):
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -360,8 +360,8 @@ def exact_dedupe(spark, sf_dir):
 @query()
 def fuzzy_dedupe(spark, sf_dir):
     h = _hashed(spark, sf_dir)
-    found = dedupe.greedy(h.select("line_no", F.lit(True).alias("passes")), dedupe.near_pairs(h, 8))
-    return h.join(found, "line_no", "left").select(F.col("line_no").alias("doc_id"), F.coalesce("blocked", F.lit(False)).alias("fuzzy_dupe"))
+    found = dedupe.near_blocked(h.select("line_no", "simhash", F.lit(True).alias("passes")), 8)
+    return found.select(F.col("line_no").alias("doc_id"), F.col("blocked").alias("fuzzy_dupe"))
 
 
 @query()
