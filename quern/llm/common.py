@@ -2,91 +2,37 @@
 
 from __future__ import annotations
 
-import atexit
+import ctypes
 import gc
-import os
-import tempfile
-import uuid
-import zipfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import drop_table, shared_folder, ship, spread, write_table
+
+__all__ = ["BLANKS", "ascii_lower", "drop_table", "parallelism", "release", "shared_folder", "ship", "table", "write_table"]
+
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: [^\x20\x09-\x0D]+ has these as separators.
 BLANKS = " \t\n\x0b\f\r"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def ascii_lower(text: Column) -> Column:
     return F.translate(text, UPPER, UPPER.lower())
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that spark.checkpoint.dir names; a temporary one only where it is unset, as in tests."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = os.path.join(tempfile.gettempdir(), f"quern-scratch-{os.getuid()}")
-    return folder.rstrip("/")
-
-
-def write_table(spark: SparkSession, df: DataFrame, name: str) -> tuple[DataFrame, str]:
-    """Cut lineage: df as Parquet in the shared folder, read again. Returns it and its path."""
-    path = f"{shared_folder(spark)}/quern/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    _made.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path), path
-
-
-def drop_table(spark: SparkSession, path: str) -> None:
-    """Remove a table of write_table() that no later read needs."""
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-    _made[:] = [x for x in _made if x[1] != path]
-
-
 def release(spark: SparkSession) -> None:
-    """Let Spark remove the shuffle files of plans that are done; else they stay until the driver collects its garbage."""
+    """Let Spark remove the shuffle files of plans that are done, and give freed memory back to the system; else both stay."""
     gc.collect()
     spark.sparkContext._jvm.System.gc()
-
-
-#: Tables that results may still be read from; they go when the process ends.
-_made: list[tuple[SparkSession, str]] = []
-
-
-@atexit.register
-def _tidy() -> None:
-    for spark, path in list(_made):
-        try:
-            if spark.sparkContext._jsc is not None:
-                drop_table(spark, path)
-        except Exception:  # noqa: BLE001 - the session may be gone
-            return
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
 
 
 def parallelism(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-
-
-def ship(spark: SparkSession) -> None:
-    """Let Python workers import this package wherever they run; once a context."""
-    sc = spark.sparkContext
-    if getattr(sc, "_quern_shipped", False):
-        return
-    import quern
-
-    root = os.path.dirname(os.path.abspath(quern.__file__))
-    target = os.path.join(tempfile.mkdtemp(prefix="quern-"), "quern.zip")
-    with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as z:
-        for folder, _, names in os.walk(root):
-            for name in names:
-                if name.endswith(".py"):
-                    full = os.path.join(folder, name)
-                    z.write(full, os.path.join("quern", os.path.relpath(full, root)))
-    sc.addPyFile(target)
-    sc._quern_shipped = True

@@ -129,26 +129,27 @@ def mixture(counts: np.ndarray, likelihoods: np.ndarray) -> tuple[list[int], np.
 RESULT = T.StructType([T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("languages", T.ArrayType(T.StringType())), T.StructField("shares", T.ArrayType(T.DoubleType()))])
 
 
+def judge(text: str | None, langs: list[str], likelihoods: np.ndarray) -> tuple[str, float, list[str], list[float]]:
+    """The values of RESULT."""
+    counts = trigram_counts(text) if langs else None
+    if counts is None:
+        return "und", 0.0, [], []
+    chosen, shares = mixture(counts, likelihoods)
+    order = sorted(range(len(chosen)), key=lambda i: (-shares[i], chosen[i]))
+    return langs[chosen[order[0]]], float(min(1.0, shares[order[0]])), [langs[chosen[i]] for i in order], [float(shares[i]) for i in order]
+
+
 def annotate(spark: SparkSession, docs: DataFrame, model: tuple[list[str], np.ndarray], carry: list[str], text_col: str = "text") -> DataFrame:
     """The columns ``carry`` of docs, and lang_pred, score, languages and shares."""
     ship(spark)
-    langs, likelihoods = model
     given = docs.select(*[F.col(c).alias(f"c{i}") for i, c in enumerate(carry)], F.col(text_col).alias("text_"))
     fields = [T.StructField(f"c{i}", docs.schema[c].dataType) for i, c in enumerate(carry)]
 
-    def judge(text: str | None) -> tuple:
-        counts = trigram_counts(text) if langs else None
-        if counts is None:
-            return "und", 0.0, [], []
-        chosen, shares = mixture(counts, likelihoods)
-        order = sorted(range(len(chosen)), key=lambda i: (-shares[i], chosen[i]))
-        return langs[chosen[order[0]]], float(min(1.0, shares[order[0]])), [langs[chosen[i]] for i in order], [float(shares[i]) for i in order]
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for at in range(0, b.num_rows, 1000):
                 part = b.slice(at, 1000)
-                found = list(zip(*map(judge, part.column("text_").to_pylist()), strict=True))
+                found = list(zip(*(judge(t, *model) for t in part.column("text_").to_pylist()), strict=True))
                 kinds = (pa.string(), pa.float64(), pa.list_(pa.string()), pa.list_(pa.float64()))
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], *[pa.array(x, k) for x, k in zip(found, kinds, strict=True)]], names=[*part.schema.names[:-1], *RESULT.names])
 
@@ -162,6 +163,14 @@ def identify(spark: SparkSession, docs: DataFrame, most_rows: int = MOST_ROWS) -
     return out.select("doc_id", held_out("doc_id").alias("held_out"), "lang_pred", "score", F.concat_ws(",", "languages").alias("languages"))
 
 
-def accepted(spark: SparkSession, docs: DataFrame) -> DataFrame:
+def accepted(spark: SparkSession, docs: DataFrame, text_col: str = "text") -> DataFrame:
     """The rows of docs, all columns, whose language can be told."""
-    return annotate(spark, docs, fit(spark, docs), docs.columns).where(F.col("lang_pred") != "und").select(*docs.columns)
+    model, at = fit(spark, docs, text_col=text_col), docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for start in range(0, b.num_rows, 1000):
+                part = b.slice(start, 1000)
+                yield part.filter(pa.array([judge(t, *model)[0] != "und" for t in part.column(at).to_pylist()], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

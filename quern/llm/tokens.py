@@ -26,8 +26,8 @@ assert sys.byteorder == "little" and array("I").itemsize == 4  # noqa: S101 - id
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: Pieces remembered by a worker in each of two generations: a full table becomes the old one, from which those in
-#: use come back. About 120 MB in all.
-REMEMBER = 300_000
+#: use come back. About 100 MB in all.
+REMEMBER = 250_000
 #: Longer pieces and words aren't remembered.
 LONGEST = 64
 #: Bytes of text that are taken apart at a time, or one text.
