@@ -43,3 +43,15 @@ def probe_markers(line: Column) -> dict[str, Column]:
 def list_view(jobs: DataFrame, limit: int = 10) -> DataFrame:
     """What a list of jobs shows: the first ``limit``, without detail."""
     return jobs.drop("detail").limit(limit)
+
+
+def tail(lines: DataFrame, n: int, order: str = "line_no") -> DataFrame:
+    """The last ``n`` lines of a log, in order."""
+    return lines.orderBy(F.desc(order)).limit(n).orderBy(order)
+
+
+def until_terminal(polls: DataFrame, job: str, order: list[str], status: str) -> DataFrame:
+    """Polls up to and including each job's first one in a state after which it doesn't change."""
+    done = F.lower(F.col(status)).isin(*TERMINAL).cast("int")
+    before = F.sum(done).over(Window.partitionBy(job).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1))
+    return polls.withColumn("before_", F.coalesce(before, F.lit(0))).where("before_ = 0").drop("before_")

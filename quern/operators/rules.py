@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass, field, fields, replace
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import formats, text
+from ..functions.hashing import bands
 from ..session import settle
 from .dedupe import mark_repeats, near_blocked, with_simhash
 
@@ -40,6 +42,15 @@ class Options:
     quarantine_margin: float = 0.25
     quarantine_max: int = 5000
 
+    @classmethod
+    def read(cls, spark: SparkSession, path: str, required: tuple[str, ...] = ()) -> Options:
+        """From a JSON file on any file system. Keys named in ``required`` must be there."""
+        given = json.loads("\n".join(r["value"] for r in spark.read.text(path, wholetext=True).collect()))
+        if missing := [k for k in required if k not in given]:
+            raise ValueError(f"missing options: {', '.join(missing)}")
+        given["per_source"] = tuple(given.get("per_source") or ())
+        return cls.of(**given)
+
     @classmethod
     def of(cls, **given) -> Options:
         """None never replaces a default."""
@@ -102,9 +113,21 @@ def _numeric(o: Options) -> list[tuple[str, str, Column, Column]]:
     ]
 
 
-def verdicts(records: DataFrame, o: Options | None = None) -> DataFrame:
+def dedupe_key() -> Column:
+    """What makes two cleaned records the same."""
+    return F.concat_ws("\u0001", F.to_json("turns"), F.col("rest"))
+
+
+def joined_text() -> Column:
+    return F.array_join(F.transform("turns", lambda t: t.text), "\n")
+
+
+def verdicts(records: DataFrame, o: Options | None = None, seen: DataFrame | None = None, earlier: DataFrame | None = None) -> DataFrame:
     """records and their metrics, rule (null if kept), metric and threshold of numeric rules.
 
+    seen (key: SHA-256 of the dedupe key) and earlier (simhash) are of rows that came before all of these: the ones that
+    weren't invalid or empty, and the kept ones.
+
     records: line_no, format, source, turns, rest; a null format is no record. The format of the first record
     holds for all. The exact-duplicate key is taken before the thresholds, near duplicates are judged against
     kept rows only.
@@ -119,10 +142,13 @@ def verdicts(records: DataFrame, o: Options | None = None) -> DataFrame:
         early = early.when(o.get("clean_text") & F.exists(formats.required(F.col("turns")), lambda t: t.text == ""), "empty_after_clean")
     df = df.withColumn("early_", early)
     if o.anywhere("dedupe"):
-        key = F.concat_ws("\u0001", F.to_json("turns"), F.col("rest"))
         # Rows that left earlier, or whose source turns the rule off, have keys of their own.
         unseen = F.col("early_").isNotNull() | ~o.get("dedupe")
-        df = mark_repeats(df, F.when(unseen, F.concat(F.lit("line "), F.col("line_no").cast("string"))).otherwise(key))
+        df = mark_repeats(df, F.when(unseen, F.concat(F.lit("line "), F.col("line_no").cast("string"))).otherwise(dedupe_key()))
+        if seen is not None:
+            again = seen.select("key").distinct().withColumn("again_", F.lit(True))
+            df = df.withColumn("key", F.when(~unseen, F.sha2(dedupe_key(), 256))).join(again, "key", "left")
+            df = df.withColumn("repeat", F.col("repeat") | F.coalesce("again_", F.lit(False))).drop("key", "again_")
         df = df.withColumn("early_", F.coalesce("early_", F.when(F.col("repeat"), "dedupe"))).drop("repeat")
     late = None
     for rule, _, _, fails in _numeric(o):
@@ -132,9 +158,15 @@ def verdicts(records: DataFrame, o: Options | None = None) -> DataFrame:
     if o.anywhere("fuzzy_dedupe") and (o.simhash_distance > 0):
         df = settle(df, "judged")
         on = o.get("fuzzy_dedupe") & (o.get("simhash_distance") > 0) & F.col("early_").isNull()
-        hashed = with_simhash(df.where(on).select("line_no", "late_", F.array_join(F.transform("turns", lambda t: t.text), "\n").alias("t")), F.col("t"))
-        hashed = settle(hashed.where(F.col("n_tokens") >= o.simhash_min_tokens).drop("t"), "hashes")
-        found = near_blocked(hashed.select("line_no", "simhash", F.col("late_").isNull().alias("passes")), o.simhash_distance)
+        hashed = with_simhash(df.where(on).select("line_no", "late_", joined_text().alias("t")), F.col("t"))
+        hashed = settle(hashed.where(F.col("n_tokens") >= o.simhash_min_tokens).select("line_no", "simhash", F.col("late_").isNull().alias("passes")), "hashes")
+        if earlier is not None:
+            # Kept rows that came before are nodes of their own with smaller numbers; only those that share a band matter.
+            mine = hashed.select(F.explode(bands(F.col("simhash"))).alias("b")).select("b.band", "b.key").distinct()
+            past = earlier.distinct().select("simhash", F.explode(bands(F.col("simhash"))).alias("b")).select("simhash", "b.band", "b.key").join(mine, ["band", "key"], "left_semi")
+            past = past.select("simhash").distinct().select((-1 - F.monotonically_increasing_id()).alias("line_no"), "simhash", F.lit(True).alias("passes"))
+            hashed = settle(hashed.unionByName(past), "hashes")
+        found = near_blocked(hashed, o.simhash_distance)
         df = df.join(found, "line_no", "left").withColumn("early_", F.coalesce("early_", F.when(F.col("blocked"), "fuzzy_dupe"))).drop("blocked")
     rule = F.coalesce("early_", "late_")
     metric = threshold = F.lit(None).cast("double")
@@ -170,6 +202,19 @@ def examples(judged: DataFrame, n: int = 10) -> DataFrame:
     return judged.where("rule IS NOT NULL").select("line_no", "rule").orderBy("line_no").limit(n)
 
 
+#: Rules of the second stage, in the order in which they are applied.
+SECOND = ("lang", "inst", "ppl", "semantic_dupe", "topic_downsample")
+
+
+def marked_examples(judged: DataFrame, n: int = 10) -> DataFrame:
+    """stage, line_no, rule, metric, source: the first ``n`` dropped by the rule chain in line order, then the first ``n``
+    of the second stage in the order in which they were dropped, rule by rule. A top-k report."""
+    place = F.array_position(F.array(*map(F.lit, SECOND)), F.col("rule"))
+    rows = judged.where("rule IS NOT NULL").select(F.when(place > 0, 2).otherwise(1).alias("stage"), place.alias("place"), "line_no", "rule", "metric", F.nullif("source", F.lit("")).alias("source"))
+    some = rows.where("stage = 1").orderBy("line_no").limit(n).unionByName(rows.where("stage = 2").orderBy("place", "line_no").limit(n))
+    return some.orderBy("stage", "place", "line_no").drop("place")
+
+
 def deviation(rule: Column, metric: Column, threshold: Column) -> Column:
     over = rule.isin(*[k for k, v in OVER.items() if v])
     return F.when(over, (metric - threshold) / threshold).otherwise((threshold - metric) / threshold)

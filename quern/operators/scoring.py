@@ -102,19 +102,19 @@ def ppl_stats(scored: DataFrame, value: str, *by: str) -> DataFrame:
     the partitions before it, so no task holds more than a partition, whatever the groups' sizes.
     """
     spark = scored.sparkSession
-    counts = scored.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("x")).agg(F.count(F.lit(1)).alias("c"))
+    counts = scored.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("x_")).agg(F.count(F.lit(1)).alias("c_"))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    counts = settle(counts.repartitionByRange(parts, *by, "x").withColumn("part_", F.spark_partition_id()), "ppl-counts")
-    sums = counts.groupBy(*by, "part_").agg(F.sum("c").alias("in_part"))  # a row for each part of each group
+    counts = settle(counts.repartitionByRange(parts, *by, "x_").withColumn("part_", F.spark_partition_id()), "ppl-counts")
+    sums = counts.groupBy(*by, "part_").agg(F.sum("c_").alias("in_part_"))  # a row for each part of each group
     earlier = Window.partitionBy(*by).orderBy("part_").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.withColumns({"before": F.coalesce(F.sum("in_part").over(earlier), F.lit(0)), "n": F.sum("in_part").over(Window.partitionBy(*by))}).drop("in_part")
-    upto = F.sum("c").over(Window.partitionBy(*by, "part_").orderBy("x")) + F.col("before")
-    ranked = counts.join(sums, [*by, "part_"]).withColumn("upto", upto)
-    at = lambda q: F.min(F.when(F.col("upto") > F.bround(F.lit(q) * (F.col("n") - 1), 0), F.col("x")))
+    sums = sums.withColumns({"before_": F.coalesce(F.sum("in_part_").over(earlier), F.lit(0)), "n_": F.sum("in_part_").over(Window.partitionBy(*by))}).drop("in_part_")
+    upto = F.sum("c_").over(Window.partitionBy(*by, "part_").orderBy("x_")) + F.col("before_")
+    ranked = counts.join(sums, [*by, "part_"]).withColumn("upto_", upto)
+    at = lambda q: F.min(F.when(F.col("upto_") > F.bround(F.lit(q) * (F.col("n_") - 1), 0), F.col("x_")))
     two = lambda c: F.round(c, 2)
     return ranked.groupBy(*by).agg(
-        F.sum("c").alias("count"), two(F.min("x")).alias("min"), two(F.sum(F.col("x") * F.col("c")) / F.sum("c")).alias("mean"),
-        *[two(at(q)).alias(name) for name, q in (("p50", 0.5), ("p90", 0.9), ("p95", 0.95), ("p99", 0.99))], two(F.max("x")).alias("max"),
+        F.sum("c_").alias("count"), two(F.min("x_")).alias("min"), two(F.sum(F.col("x_") * F.col("c_")) / F.sum("c_")).alias("mean"),
+        *[two(at(q)).alias(name) for name, q in (("p50", 0.5), ("p90", 0.9), ("p95", 0.95), ("p99", 0.99))], two(F.max("x_")).alias("max"),
     )
 
 

@@ -9,30 +9,61 @@ from ..functions import formats
 from ..functions.text import trim, utf16_length
 
 
-def checked(lines: DataFrame) -> DataFrame:
-    """lines: line_no, raw. Adds format, parsed and error: invalid_json, unknown_shape or mixed_format."""
+def checked(lines: DataFrame, locked: str | None = None) -> DataFrame:
+    """lines: line_no, raw. Adds format, parsed and error: invalid_json, unknown_shape or mixed_format.
+
+    locked: the format of records that came before; else the first record's holds.
+    """
     v = formats.parse_json(trim(F.col("raw")))
     df = lines.withColumn("v_", v).withColumn("format", formats.detect(F.col("v_"))).withColumn("parsed", F.col("v_").isNotNull()).drop("v_")
-    first = df.agg(F.min_by("format", F.when(F.col("format").isNotNull(), F.col("line_no"))).alias("f")).first()["f"]
+    first = locked or df.agg(F.min_by("format", F.when(F.col("format").isNotNull(), F.col("line_no"))).alias("f")).first()["f"]
     error = F.when(~F.col("parsed"), "invalid_json").when(F.col("format").isNull(), "unknown_shape").when(F.col("format") != F.lit(first), "mixed_format")
     return df.withColumn("error", error)
 
 
-def summary(checked: DataFrame, most: int = 10) -> DataFrame:
-    """valid, lines, format, errors (the first ``most``), approx_tokens, preview; one row."""
-    first = F.min_by("format", F.when(F.col("format").isNotNull(), F.col("line_no")))
-    preview = F.min_by("raw", F.when(F.col("format").isNotNull(), F.col("line_no")))
+def counted(checked: DataFrame, most: int = 10) -> DataFrame:
+    """lines, n_errors, format, chars, preview and errors (the first ``most``); one row, which added_up() can add to others."""
+    at = F.when(F.col("format").isNotNull(), F.col("line_no"))
     chars = F.sum(F.when(F.col("parsed"), utf16_length(F.col("raw"))).otherwise(0))
     whole = checked.agg(
-        F.count(F.lit(1)).alias("lines"),
-        F.count("error").alias("n_errors"),
-        first.alias("first"),
-        F.floor(F.coalesce(chars, F.lit(0)) / 4 + 0.5).cast("long").alias("approx_tokens"),
-        F.coalesce(F.left(preview, F.lit(400)), F.lit("")).alias("preview"),
-    )
+        F.count(F.lit(1)).alias("lines"), F.count("error").alias("n_errors"), F.min_by("format", at).alias("format"),
+        F.coalesce(chars, F.lit(0)).cast("long").alias("chars"), F.left(F.min_by("raw", at), F.lit(400)).alias("preview"),
+    )
     top = checked.where("error IS NOT NULL").orderBy("line_no").limit(most)
-    errors = top.agg(F.sort_array(F.collect_list(F.struct(F.col("line_no").alias("line"), F.col("error").alias("message")))).alias("errors"))
-    fmt = F.when(F.col("lines") == 0, "empty").otherwise(F.coalesce("first", F.lit("invalid")))
+    errors = top.agg(F.sort_array(F.collect_list(F.struct(F.col("line_no").cast("long").alias("line"), F.col("error").alias("message")))).alias("errors"))
     # Two rows of one line each: the joined pair is one row.
-    both = whole.withColumn("one", F.lit(1)).join(errors.withColumn("one", F.lit(1)), "one")
-    return both.select(((F.col("n_errors") == 0) & (F.col("lines") > 0)).alias("valid"), "lines", fmt.alias("format"), "errors", "approx_tokens", "preview")
+    return whole.withColumn("one", F.lit(1)).join(errors.withColumn("one", F.lit(1)), "one").drop("one")
+
+
+def added_up(parts: DataFrame, most: int = 10) -> DataFrame:
+    """valid, lines, format, errors, approx_tokens, preview of all parts: rows of counted() with batch."""
+    at = F.when(F.col("format").isNotNull(), F.col("batch"))
+    whole = parts.agg(
+        F.coalesce(F.sum("lines"), F.lit(0)).alias("lines"), F.coalesce(F.sum("n_errors"), F.lit(0)).alias("n_errors"), F.min_by("format", at).alias("first"),
+        F.coalesce(F.sum("chars"), F.lit(0)).alias("chars"), F.min_by("preview", at).alias("preview"),
+        F.slice(F.sort_array(F.flatten(F.collect_list("errors"))), 1, most).alias("errors"),  # at most ``most`` a part
+    )
+    fmt = F.when(F.col("lines") == 0, "empty").otherwise(F.coalesce("first", F.lit("invalid")))
+    tokens = F.floor(F.col("chars") / 4 + 0.5).cast("long")
+    return whole.select(((F.col("n_errors") == 0) & (F.col("lines") > 0)).alias("valid"), "lines", fmt.alias("format"), "errors", tokens.alias("approx_tokens"), F.coalesce("preview", F.lit("")).alias("preview"))
+
+
+def summary(checked: DataFrame, most: int = 10) -> DataFrame:
+    """valid, lines, format, errors (the first ``most``), approx_tokens, preview; one row."""
+    return added_up(counted(checked, most).withColumn("batch", F.lit(0).cast("long")), most)
+
+
+def require_valid(lines: DataFrame, purpose: str = "use") -> dict:
+    """The summary as a dictionary; ValueError, naming the first bad line, if the lines aren't a valid dataset."""
+    found = summary(checked(lines)).first().asDict(recursive=True)
+    if not found["valid"]:
+        first = f"line {found['errors'][0]['line']}: {found['errors'][0]['message']}" if found["errors"] else "the file is empty"
+        raise ValueError(f"refusing to {purpose} an invalid dataset ({first})")
+    return found
+
+
+def require_kept(summary: dict) -> dict:
+    """The summary of a cleaning run; ValueError if nothing was kept."""
+    if not summary["kept_lines"]:
+        raise ValueError("cleaning removed every record")
+    return summary

@@ -34,7 +34,10 @@ def rows_of(response: object) -> list[dict]:
 
 
 class JobSource(DataSource):
-    """spark.read.format("quern_jobs") with options path, base and key_variable; one row of raw JSON a job."""
+    """spark.read.format("quern_jobs") with options path, base and key_variable; one row of raw JSON a job.
+
+    With the option job, only that job's status is asked for; with limit, at most so many jobs are returned.
+    """
 
     client: Callable[[dict], Callable[[str], object]] = staticmethod(lambda o: http_client(o["base"], o["key_variable"]))
 
@@ -57,5 +60,8 @@ class _Reader(DataSourceReader):
         return [InputPartition(0)]
 
     def read(self, partition: InputPartition) -> Iterator[tuple]:
-        for job in rows_of(self.client(self.options)(self.options.get("path", "fine_tuning/jobs"))):
+        path, one, limit = self.options.get("path", "fine_tuning/jobs"), self.options.get("job"), self.options.get("limit")
+        get = self.client(self.options)
+        jobs = [get(f"{path}/{one}")] if one else rows_of(get(f"{path}?limit={int(limit)}" if limit else path))
+        for job in jobs[: int(limit) if limit else None]:
             yield (json.dumps(job),)

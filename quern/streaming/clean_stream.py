@@ -6,9 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..functions.hashing import bands, hamming
 from ..functions.text import trim
-from ..operators import dedupe, rules
+from ..operators import dedupe, rules, validate
 from ..session import settle
 from ..sources import jsonl
 
@@ -42,32 +41,17 @@ class CleanStream:
         records = jsonl.records(numbered, self.hint)
         if locked:
             records = records.withColumn("format", F.when(F.col("format") == locked["format"], F.col("format")))
-        judged = rules.verdicts(records, o)
-        key = F.sha2(F.concat_ws("\u0001", F.to_json("turns"), F.col("rest")), 256)
-        judged = settle(judged.withColumn("key", key), "stream-judged")
-        early = F.col("rule").isin("invalid", "empty_after_clean")
-        seen = self._table("keys", "key string", batch).distinct().withColumn("seen", F.lit(True))
-        judged = judged.join(seen, "key", "left").withColumn("rule", F.when(F.col("seen") & ~F.coalesce(early, F.lit(False)) & F.lit(o.dedupe), "dedupe").otherwise(F.col("rule"))).drop("seen")
-        if o.fuzzy_dedupe and o.simhash_distance > 0:
-            judged = self._near_earlier(settle(judged, "stream-exact"), batch)
+        judged = rules.verdicts(records, o, self._table("keys", "key string", batch), self._table("hashes", "simhash long", batch))
+        early = F.coalesce(F.col("rule").isin("invalid", "empty_after_clean"), F.lit(False))
         judged = settle(judged, "stream-done")
         put = lambda df, name: df.withColumn("batch", F.lit(batch).cast("long")).write.mode("overwrite").parquet(f"{self.state}/{name}/part={batch}")
         put(judged.agg(F.count(F.lit(1)).alias("n")), "counts")
-        put(judged.where(~F.coalesce(early, F.lit(False))).select("key").distinct(), "keys")
+        put(judged.where(~early).select(F.sha2(rules.dedupe_key(), 256).alias("key")).distinct(), "keys")
         fmt = judged.where("rule IS NULL OR rule <> 'invalid'").select("format").limit(1)
         put(fmt, "format")
-        hashed = dedupe.with_simhash(judged.where("rule IS NULL").select(F.array_join(F.transform("turns", lambda t: t.text), "\n").alias("t")), F.col("t"))
+        hashed = dedupe.with_simhash(judged.where("rule IS NULL").select(rules.joined_text().alias("t")), F.col("t"))
         put(hashed.where(F.col("n_tokens") >= o.simhash_min_tokens).select("simhash"), "hashes")
-        judged.drop("key").write.mode("overwrite").parquet(f"{self.out}/batch={batch}")
-
-    def _near_earlier(self, judged: DataFrame, batch: int) -> DataFrame:
-        """Rows near a kept row of an earlier batch. Within the batch the rows were already judged in order."""
-        o = self.options
-        mine = dedupe.with_simhash(judged.where("rule IS NULL OR rule NOT IN ('invalid', 'empty_after_clean', 'dedupe')").select("line_no", F.array_join(F.transform("turns", lambda t: t.text), "\n").alias("t")), F.col("t"))
-        mine = mine.where(F.col("n_tokens") >= o.simhash_min_tokens).select("line_no", "simhash", F.explode(bands(F.col("simhash"))).alias("b"))
-        past = self._table("hashes", "simhash long", batch).distinct().select(F.col("simhash").alias("old"), F.explode(bands(F.col("simhash"))).alias("b"))
-        hit = mine.join(past, "b").where(hamming(F.col("simhash"), F.col("old")) <= o.simhash_distance).select("line_no").distinct().withColumn("hit", F.lit(True))
-        return judged.join(hit, "line_no", "left").withColumn("rule", F.when(F.col("hit"), "fuzzy_dupe").otherwise(F.col("rule"))).drop("hit")
+        judged.write.mode("overwrite").parquet(f"{self.out}/batch={batch}")
 
     def start(self, path: str, checkpoint: str) -> StreamingQuery:
         source = self.spark.readStream.option("lineSep", "\n").text(path)
@@ -88,6 +72,44 @@ def _numbered(lines: DataFrame, start: int) -> DataFrame:
     return lines.withColumn("p", part).join(F.broadcast(offsets), "p").select((F.col("before") + F.row_number().over(Window.partitionBy("p").orderBy("at"))).alias("line_no"), "raw")
 
 
+class ValidateStream:
+    """Validation of a stream of lines: a row for each batch in shared storage, added up by summary().
+
+    The format of the first record holds for all batches. A batch that runs again replaces its row.
+    """
+
+    def __init__(self, spark: SparkSession, state: str, most: int = 10) -> None:
+        self.spark, self.state, self.most = spark, state.rstrip("/"), most
+
+    def _earlier(self, batch: int | None = None) -> DataFrame | None:
+        try:
+            df = self.spark.read.schema(f"batch long, {self.SCHEMA}").parquet(self.state)
+        except Exception as e:  # noqa: BLE001 - no batch has been written
+            if "PATH_NOT_FOUND" not in str(e):
+                raise
+            return None
+        return df if batch is None else df.where(F.col("batch") < batch)
+
+    SCHEMA = "lines long, n_errors long, format string, chars long, preview string, errors array<struct<line: long, message: string>>"
+
+    def process(self, lines: DataFrame, batch: int) -> None:
+        past = self._earlier(batch)
+        known = past.agg(F.coalesce(F.sum("lines"), F.lit(0)).alias("n"), F.min_by("format", F.when(F.col("format").isNotNull(), F.col("batch"))).alias("f")).first() if past is not None else None
+        start, fmt = (known["n"], known["f"]) if known else (0, None)
+        lines = settle(lines.where(trim(F.col("value")) != "").select(F.regexp_replace("value", "\r\\z", "").alias("raw"), F.monotonically_increasing_id().alias("at")), "stream-lines")
+        found = validate.counted(validate.checked(settle(_numbered(lines, start), "stream-numbered"), fmt), self.most)
+        found.select(F.lit(batch).cast("long").alias("batch"), *[f.split(" ")[0] for f in ("lines", "n_errors", "format", "chars", "preview", "errors")]).write.mode("overwrite").parquet(f"{self.state}/part={batch}")
+
+    def summary(self) -> DataFrame:
+        """As validate.summary(), over all batches so far."""
+        past = self._earlier()
+        return validate.added_up(self.spark.createDataFrame([], f"batch long, {self.SCHEMA}") if past is None else past, self.most)
+
+    def start(self, path: str, checkpoint: str) -> StreamingQuery:
+        source = self.spark.readStream.option("lineSep", "\n").text(path)
+        return source.writeStream.foreachBatch(self.process).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def status_stream(polls: DataFrame, sink: str, checkpoint: str) -> StreamingQuery:
     """Changes of a stream of polls (job, polled_at, status): the last status of each job is the state."""
     import pandas as pd
