@@ -7,8 +7,9 @@ first; a block is a candidate only if it holds a word of the template's prefix (
 distinct words (length filter), and enough words can still match after the first prefix word found
 (positional filter). Candidates are verified, so the join is exact.
 
-The templates are a parameter and go to every task; their words are counted in one aggregation whose size is
-that of the templates' vocabulary. Texts are read whole and never shuffled.
+The templates are a parameter and go to every task, so their words are bounded by ``MOST_WORDS``; these are counted
+in one aggregation whose size is that of the templates' vocabulary. Texts are read whole and never shuffled.
+``find`` gives every block that meets a template, with its place and containment; ``scan`` sums them up by document.
 
 Defined results: a null text is empty: no words, null first_word and last_word, empty labels, score 0. A
 base phrase scores 1. Repeated rows are judged each, ties between words of one frequency go by the word, an
@@ -40,6 +41,8 @@ TEMPLATES = (
     ("mpl", "this source code form is subject to the terms of the mozilla public license v 2 0"),
 )
 SHARE = 0.8
+#: Words of all templates together, at most: they are sent to all tasks.
+MOST_WORDS = 1_000_000
 #: Separators become spaces, A-Z lower-case; bytes of characters beyond ASCII stay.
 _WORDS = bytes(32 if c <= 0x2F or 0x3A <= c <= 0x40 or 0x5B <= c <= 0x60 or 0x7B <= c <= 0x7F else c + 32 if 0x41 <= c <= 0x5A else c for c in range(256))
 
@@ -85,11 +88,11 @@ class Matcher:
             self.templates.append((label, ordered, need))
         self.keys = frozenset(self.prefix)
 
-    def blocks(self, words: list[bytes]) -> dict[str, float]:
-        """Best containment by label, over all blocks that meet the threshold."""
+    def blocks(self, words: list[bytes]) -> list[tuple[int, int, float]]:
+        """First word, template and containment of every block that meets the threshold."""
         if self.keys.isdisjoint(words):
-            return {}
-        best: dict[str, float] = {}
+            return []
+        met: list[tuple[int, int, float]] = []
         first: dict[int, dict[int, int]] = {}  # block -> template -> least prefix position found
         last = max(0, (len(words) - 1) // self.step)
         for at, w in enumerate(words):
@@ -100,10 +103,10 @@ class Matcher:
                         found = first.setdefault(block, {})
                         for t, i in self.prefix[w]:
                             found[t] = min(i, found.get(t, i))
-        for block, found in first.items():
+        for block, found in sorted(first.items()):
             there = set(words[block * self.step : (block + 2) * self.step])
-            for t, i in found.items():
-                label, ordered, need = self.templates[t]
+            for t, i in sorted(found.items()):
+                _, ordered, need = self.templates[t]
                 if len(there) < need or len(ordered) - i < need:
                     continue
                 n = 0
@@ -112,8 +115,8 @@ class Matcher:
                         break
                     n += ordered[j] in there
                 if n >= need:
-                    best[label] = max(best.get(label, 0.0), n / len(ordered))
-        return best
+                    met.append((block * self.step, t, n / len(ordered)))
+        return met
 
 
 def base_places(words: list[bytes]) -> tuple[list[int], set[str]]:
@@ -131,11 +134,38 @@ def base_places(words: list[bytes]) -> tuple[list[int], set[str]]:
                 labels.add(label)
 
 
+def _matcher(given: DataFrame, templates, share: float) -> Matcher:
+    if sum(len(words_of(t.encode())) for _, t in templates) > MOST_WORDS:
+        raise ValueError(f"templates of more than {MOST_WORDS} words: scan with parts of them")
+    vocabulary = frozenset(w for _, t in templates for w in words_of(t.encode()))
+    return Matcher(templates, share, frequencies(given, vocabulary))
+
+
+def find(spark: SparkSession, docs: DataFrame, templates=TEMPLATES, share: float = SHARE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, block_word, n_words, template, label, containment of every block that meets a template."""
+    ship(spark)
+    given = docs.select(F.col(id_col).alias("id_"), F.col(text_col).alias("text_"))
+    matcher = _matcher(given, templates, share)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = []
+            for k, text in enumerate(_texts(b)):
+                words = words_of(text)
+                rows += [(k, at, len(words[at : at + 2 * matcher.step]), t, matcher.templates[t][0], c) for at, t, c in matcher.blocks(words)]
+            if rows:
+                at, *columns = zip(*rows, strict=True)
+                kinds = (pa.int64(), pa.int64(), pa.int32(), pa.string(), pa.float64())
+                yield pa.RecordBatch.from_arrays([b.column("id_").take(pa.array(at, pa.int64())), *[pa.array(c, t) for c, t in zip(columns, kinds, strict=True)]], names=["doc_id", "block_word", "n_words", "template", "label", "containment"])
+
+    return given.mapInArrow(run, f"doc_id {given.schema['id_'].dataType.simpleString()}, block_word long, n_words long, template int, label string, containment double")
+
+
 def scan(spark: SparkSession, docs: DataFrame, templates=TEMPLATES, share: float = SHARE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """A row a document: words, base places and labels, all labels, and the best containment (1 for a base phrase)."""
     ship(spark)
     given = docs.select(F.col(id_col).alias("id_"), F.col(text_col).alias("text_"))
-    vocabulary = frozenset(w for _, t in templates for w in words_of(t.encode()))
-    matcher = Matcher(templates, share, frequencies(given, vocabulary))
+    matcher = _matcher(given, templates, share)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -143,9 +173,10 @@ def scan(spark: SparkSession, docs: DataFrame, templates=TEMPLATES, share: float
             for text in _texts(b):
                 words = words_of(text)
                 starts, base = base_places(words) if text and b"license" in text.translate(_WORDS) else ([], set())
-                found = matcher.blocks(words)
-                score = max([1.0 * bool(base), *found.values()])
-                out.append((len(words), len(starts), min(starts, default=None), max(starts, default=None), ",".join(sorted(base)), ",".join(sorted(base | set(found))), score))
+                met = matcher.blocks(words)
+                score = max([1.0 * bool(base), *(c for _, _, c in met)])
+                labels = base | {matcher.templates[t][0] for _, t, _ in met}
+                out.append((len(words), len(starts), min(starts, default=None), max(starts, default=None), ",".join(sorted(base)), ",".join(sorted(labels)), score))
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.float64())
             columns = list(zip(*out, strict=True)) or [()] * 7
             yield pa.RecordBatch.from_arrays([b.column("id_"), *[pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]], names=["doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score"])

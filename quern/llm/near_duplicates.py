@@ -17,9 +17,11 @@ components, those outside a bucket's most common component with all. So a bucket
 makes no square of pairs, and no link between components is lost.
 
 Defined results: null texts and texts without words have no shingles and link with nothing; texts of fewer
-words than a shingle are one shingle; equal sets link even under different ids; a null doc_id is never a component's
-name unless it has no other; repeated rows are returned each; an empty table gives an empty result; texts are
-never shortened; extra columns are not carried by ``find`` and all kept by ``distinct``.
+words than a shingle are one shingle; equal sets link even under different ids, and rows of one id with different
+texts only if these are similar; a null doc_id is never a component's name unless it has no other; repeated rows are
+returned each by ``find``; an empty table gives an empty result; texts are never shortened; extra columns are not
+carried by ``find`` and all kept by ``distinct``, which keeps one row of each component, that of the smallest id (a null
+one only if there is no other) and then of the smallest digest of the text, and one of repeated rows without words.
 """
 
 from __future__ import annotations
@@ -68,7 +70,7 @@ def _bitmap(s: np.ndarray) -> np.ndarray:
 
 
 def _sets(spark: SparkSession, docs: DataFrame, similarity: int, words: int) -> DataFrame:
-    """doc_id, n, cid (digest of the set; null if empty) and pool (shingles that the prefix is taken from)."""
+    """doc_id, key, n, cid (digest of the set; null if empty) and pool (shingles that the prefix is taken from)."""
     ship(spark)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -82,10 +84,10 @@ def _sets(spark: SparkSession, docs: DataFrame, similarity: int, words: int) ->
                     cid.append(hashlib.blake2b(s.astype("<u8").tobytes(), digest_size=16).digest() if len(s) else None)
                     low = int(np.searchsorted(s, _pool(similarity)))
                     pool.append(s[: max(low, _prefix_size(len(s), similarity) if len(s) else 0)])
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n, pa.int64()), pa.array(cid, pa.binary()), _lists(pool)], names=["doc_id", "n", "cid", "pool"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("key"), pa.array(n, pa.int64()), pa.array(cid, pa.binary()), _lists(pool)], names=["doc_id", "key", "n", "cid", "pool"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.mapInArrow(run, f"doc_id {kind}, n long, cid binary, pool array<long>")
+    return docs.mapInArrow(run, f"doc_id {kind}, key binary, n long, cid binary, pool array<long>")
 
 
 def _full_sets(spark: SparkSession, given: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
@@ -223,11 +225,17 @@ def _last_round(spark: SparkSession, w: DataFrame, roots: DataFrame, similarity:
     return left.join(member.select(F.col("nid").alias("b"), F.col("gid").alias("b_gid"), F.col("comp").alias("b_comp")), ["b_gid", "b_comp"]).select("a", "b")
 
 
-def find(spark: SparkSession, docs: DataFrame, similarity: int = SIMILARITY, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS) -> DataFrame:
-    """doc_id, n_shingles, component_id of every row."""
-    given = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+def _text_key(text: Column) -> Column:
+    """Tells the texts of one id apart; a null is a text of its own."""
+    return F.unhex(F.when(text.isNull(), "").otherwise(F.md5(text)))
+
+
+def _rows(spark: SparkSession, docs: DataFrame, similarity: int, id_col: str, text_col: str, words: int) -> DataFrame:
+    """doc_id, key, n_shingles, root (null without shingles) and component_id of every row."""
+    text = F.col(text_col)
+    given = docs.select(F.col(id_col).alias("doc_id"), text.alias("text"), _text_key(text).alias("key"))
     sets, sets_at = write_table(spark, _sets(spark, given, similarity, words), "near-sets")
-    rows, _ = write_table(spark, sets.select("doc_id", "n", "cid"), "near-rows")
+    rows, _ = write_table(spark, sets.select("doc_id", "key", "n", "cid"), "near-rows")
     one = sets.where("cid IS NOT NULL").groupBy("cid").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("pool").alias("pool"))
     pools, pools_at = write_table(spark, one.withColumn("nid", F.monotonically_increasing_id()), "near-pools")
     drop_table(spark, sets_at)
@@ -250,17 +258,25 @@ def find(spark: SparkSession, docs: DataFrame, similarity: int = SIMILARITY, id_
 
     named = classes.join(roots, F.col("nid") == F.col("node"), "left").select("cid", "rep", F.coalesce("root", "nid").alias("root"))
     names = named.groupBy("root").agg(F.min("rep").alias("component"))
-    by_class = named.join(names, "root").select(F.col("cid").alias("k"), "component")
+    by_class = named.join(names, "root").select(F.col("cid").alias("k"), "root", "component")
     out = rows.join(by_class, F.col("cid") == F.col("k"), "left")
     own = F.when(F.col("cid").isNull(), F.col("doc_id")).otherwise(F.col("component"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"))
+    return out.select("doc_id", "key", F.col("n").alias("n_shingles"), "root", own.alias("component_id"))
+
+
+def find(spark: SparkSession, docs: DataFrame, similarity: int = SIMILARITY, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS) -> DataFrame:
+    """doc_id, n_shingles, component_id of every row."""
+    return _rows(spark, docs, similarity, id_col, text_col, words).select("doc_id", "n_shingles", "component_id")
 
 
 def distinct(spark: SparkSession, docs: DataFrame, similarity: int = SIMILARITY, words: int = WORDS) -> DataFrame:
-    """The rows of docs, all columns, that give their component its name; of repeated ids, one row stays."""
-    found, _ = write_table(spark, find(spark, docs, similarity, words=words), "near-found")
-    keep = found.where("doc_id = component_id OR doc_id IS NULL").select("doc_id").distinct()
-    kept = docs.alias("d").join(keep.alias("k"), F.col("d.doc_id").eqNullSafe(F.col("k.doc_id")), "left_semi").select("d.*")
-    if found.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").isEmpty():
-        return kept
-    return kept.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).unionByName(kept.where("doc_id IS NULL"))
+    """One row of docs, all columns, for each component."""
+    found, _ = write_table(spark, _rows(spark, docs, similarity, "doc_id", "text", words), "near-found")
+    name = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")
+    one = found.where("root IS NOT NULL").groupBy("root").agg(F.min(name).alias("name")).select("name.doc_id", "name.key")
+    keep, _ = write_table(spark, one.union(found.where("root IS NULL").select("doc_id", "key").distinct()).select(F.col("doc_id").alias("k"), "key"), "near-keep")
+    given = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").alias("id"), _text_key(F.col("text")).alias("t"))
+    kept = given.join(keep, F.col("id").eqNullSafe(F.col("k")) & (F.col("t") == F.col("key")), "left_semi")
+    if not found.groupBy("doc_id", "key").count().where("count > 1").isEmpty():
+        kept = kept.dropDuplicates(["id", "t"])
+    return kept.select("row.*")

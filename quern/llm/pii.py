@@ -212,6 +212,7 @@ def span_classifier(counts: dict[str, dict[str, float]], post: dict[str, dict[st
 
     The likelihoods of a feature's values sum to 1 in each class: half a span is added to each value, and to the
     class's total as often as the feature has values, so a class without spans speaks neither for nor against any.
+    The classes' own sizes get a tenth of a span.
     """
     soft: dict[tuple[str, str], list[float]] = {}
     for (kind, shape, votes), n in sorted(shapes.items()):
@@ -223,7 +224,7 @@ def span_classifier(counts: dict[str, dict[str, float]], post: dict[str, dict[st
         feature = (kind, shape.split(":")[0])
         values[feature] = values.get(feature, 0) + 1
     total = {kind: [sum(n * (post[kind][v] if y else 1 - post[kind][v]) for v, n in patterns.items()) for y in (0, 1)] for kind, patterns in counts.items()}
-    prior = {kind: math.log((real + 0.5) / (rest + 0.5)) for kind, (rest, real) in total.items()}
+    prior = {kind: math.log((real + 0.1) / (rest + 0.1)) for kind, (rest, real) in total.items()}
     weights = {}
     for (kind, shape), (no, yes) in soft.items():
         rest, real = (x + 0.5 * values[kind, shape.split(":")[0]] for x in total[kind])
