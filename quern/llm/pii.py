@@ -21,6 +21,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.text import let
 from .common import write_table
 
 KINDS = ("email", "ip", "card", "phone", "secret")
@@ -53,11 +54,13 @@ def _running(sizes: Column) -> Column:
     """Sums of what stands before each element; in blocks, so that long arrays stay cheap."""
     block = 256
     add = lambda xs: F.aggregate(xs, F.lit(0), lambda a, x: a + x)
-    sums = F.transform(F.sequence(F.lit(0), F.floor((F.size(sizes) - 1) / block).cast("int")), lambda b: add(F.slice(sizes, b * block + 1, block)))
-    return F.transform(
-        sizes,
-        lambda _, i: add(F.slice(sums, 1, F.floor(i / block).cast("int"))) + add(F.slice(sizes, F.floor(i / block).cast("int") * block + 1, i % block)),
-    )
+
+    def each(p: Column) -> Column:
+        at = lambda i: F.floor(i / block).cast("int")
+        return F.transform(p.sizes, lambda _, i: add(F.slice(p.sums, 1, at(i))) + add(F.slice(p.sizes, at(i) * block + 1, i % block)))
+
+    sums = lambda x: F.transform(F.sequence(F.lit(0), F.floor((F.size(x) - 1) / block).cast("int")), lambda b: add(F.slice(x, b * block + 1, block)))
+    return let(sizes, lambda x: let(F.struct(x.alias("sizes"), sums(x).alias("sums")), each))
 
 
 def _digits(s: Column) -> Column:
@@ -117,26 +120,36 @@ def _shape(m: Column, before: Column, after: Column) -> Column:
 
 
 def _spans(kind: str, text: Column, pattern: str) -> Column:
-    """Array of kind, start, end, base, votes, shape. The text between matches gives their places."""
-    found = F.regexp_extract_all(text, F.lit(pattern), 0)
-    between = F.split(text, pattern, -1)
-    gaps = F.transform(between, lambda x: F.length(x))
-    starts = _running(F.transform(found, lambda m, i: F.length(m) + F.get(gaps, i)))
-
-    def span(m: Column, i: Column) -> Column:
-        start = F.get(starts, i) + F.get(gaps, i)
-        before, after = F.get(between, i), F.get(between, i + 1)
-        valid = _valid(kind, m)
-        return F.struct(
-            F.lit(kind).alias("kind"),
-            start.alias("start"),
-            (start + F.length(m)).alias("end"),
-            valid.alias("base"),
-            _votes(kind, m, before, valid).alias("votes"),
-            _shape(m, before, after).alias("shape"),
-        )
-
-    return F.transform(found, span)
+    """Array of kind, start, end, base, votes, shape. The text between matches gives their places.
+
+    Arrays that several parts of the expression need are bound by let(), so each is made once a text.
+    """
+
+    def spans(p: Column) -> Column:
+        def span(m: Column, i: Column) -> Column:
+            start = F.get(p.starts, i) + F.length(F.get(p.others, i))
+            before, after = F.right(F.get(p.others, i), F.lit(40)), F.left(F.get(p.others, i + 1), F.lit(1))
+            seen = F.struct(m.alias("m"), start.alias("start"), before.alias("before"), after.alias("after"), _valid(kind, m).alias("valid"))
+            return let(
+                seen,
+                lambda x: F.struct(
+                    F.lit(kind).alias("kind"),
+                    x.start.alias("start"),
+                    (x.start + F.length(x.m)).alias("end"),
+                    x.valid.alias("base"),
+                    _votes(kind, x.m, x.before, x.valid).alias("votes"),
+                    _shape(x.m, x.before, x.after).alias("shape"),
+                ),
+            )
+
+        return F.transform(p.found, span)
+
+    def placed(p: Column) -> Column:
+        lengths = F.transform(p.found, lambda m, i: F.length(m) + F.length(F.get(p.others, i)))
+        return F.struct(p.found.alias("found"), p.others.alias("others"), _running(lengths).alias("starts"))
+
+    both = F.struct(F.regexp_extract_all(text, F.lit(pattern), 0).alias("found"), F.split(text, pattern, -1).alias("others"))
+    return let(both, lambda p: let(placed(p), spans))
 
 
 SPAN = "array<struct<kind:string,start:int,end:int,base:boolean,votes:string,shape:array<string>>>"
