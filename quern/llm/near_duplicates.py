@@ -13,8 +13,10 @@
 
 Only components are asked for, so pairs within a component need no verification: a first round links
 neighbours in each bucket, a linear number of pairs; the exact round then joins only members of different
-components, those outside a bucket's most common component with all. So a bucket of thousands of near copies
-makes no square of pairs, and no link between components is lost.
+components, those outside a bucket's most common component with all. Before it, the same join runs over parts of
+large buckets, in which a member meets about ``MEETS`` others, and over a few members of each group: a linear number
+of pairs that links most of what is left. So a bucket of thousands of near copies makes no square of pairs, and no
+link between components is lost.
 
 Defined results: null texts and texts without words have no shingles and link with nothing; texts of fewer
 words than a shingle are one shingle; equal sets link even under different ids, and rows of one id with different
@@ -34,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import drop_table, release, ship, write_table
+from .common import drop_table, release, ship, trim, write_table
 from .components import components
 from .shingles import shingles
 
@@ -43,6 +45,8 @@ WORDS = 3
 SIMILARITY = 90
 #: Members of a bucket that are put in order together in the first round.
 CHAIN = 5_000
+#: In the round before the exact one: members of a bucket that one meets, about, and pairs of members of two groups, at most.
+MEETS, TRIES = 12, 8
 #: 64-bit words of a set's bitmap, which bounds how much two sets differ.
 MAP = 16
 #: Bits of the map of ids whose texts are read again.
@@ -85,6 +89,7 @@ def _sets(spark: SparkSession, docs: DataFrame, similarity: int, words: int) ->
                     low = int(np.searchsorted(s, _pool(similarity)))
                     pool.append(s[: max(low, _prefix_size(len(s), similarity) if len(s) else 0)])
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("key"), pa.array(n, pa.int64()), pa.array(cid, pa.binary()), _lists(pool)], names=["doc_id", "key", "n", "cid", "pool"])
+        trim()
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.mapInArrow(run, f"doc_id {kind}, key binary, n long, cid binary, pool array<long>")
@@ -201,28 +206,40 @@ def _first_round(w: DataFrame, similarity: int) -> DataFrame:
     return star.union(near.select("a_nid", "b_nid"))
 
 
-def _last_round(spark: SparkSession, w: DataFrame, roots: DataFrame, similarity: int) -> DataFrame:
-    """Pairs a, b of different components whose groups pass the filters."""
+def _met(spark: SparkSession, w: DataFrame, roots: DataFrame, similarity: int, meets: int | None) -> tuple[DataFrame, DataFrame]:
+    """nid, gid, comp of all members; and pairs of groups in different components that pass the filters: a_ and b_nid (the first members), gid, comp.
+
+    meets: how many of a bucket one member meets, about; None: all.
+    """
     comp = w.join(roots, w.nid == roots.node, "left").select(*w.columns, F.coalesce("root", "nid").alias("comp"))
     parts, _ = write_table(spark, comp, "near-parts")
     sub = parts.groupBy("gid", "comp").agg(F.min("nid").alias("sid"), F.first("n").alias("n"), F.first("alone").alias("alone"), F.first("bits").alias("bits"), F.first("pre").alias("pre"))
     flat = sub.select("sid", "comp", "n", "alone", "bits", F.posexplode("pre").alias("i", "tok")).select("sid", "comp", "n", "tok", "bits", (F.col("alone") + F.col("i")).alias("pos"))
     per = flat.groupBy("tok", "comp").agg(F.count(F.lit(1)).alias("c"))
-    mode = per.groupBy("tok").agg(F.max_by("comp", F.struct("c", "comp")).alias("mode"), F.count(F.lit(1)).alias("comps")).where("comps > 1").drop("comps")
-    rows, rows_at = write_table(spark, flat.join(mode, "tok"), "near-buckets")
-    few = rows.where("comp <> mode").select("tok", F.col("sid").alias("x"), F.col("comp").alias("x_comp"), F.col("n").alias("x_n"), F.col("pos").alias("x_pos"), F.col("bits").alias("x_bits"))
+    mode = per.groupBy("tok").agg(F.max_by("comp", F.struct("c", "comp")).alias("mode"), F.count(F.lit(1)).alias("comps"), F.sum("c").alias("size")).where("comps > 1").drop("comps")
+    part = F.lit(0) if meets is None else F.pmod(F.xxhash64("sid"), F.ceil(F.col("size") / meets))
+    rows, _ = write_table(spark, flat.join(mode, "tok").withColumn("part", part).drop("size"), "near-buckets")
+    few = rows.where("comp <> mode").select("tok", F.col("part").alias("x_part"), F.col("sid").alias("x"), F.col("comp").alias("x_comp"), F.col("n").alias("x_n"), F.col("pos").alias("x_pos"), F.col("bits").alias("x_bits"))
     # Members outside a bucket's most common component meet all members; among themselves, once.
     need = _need(F.col("n"), F.col("x_n"), similarity)
     fits = (100 * F.least("n", "x_n") >= similarity * F.greatest("n", "x_n")) & (F.col("pos") <= F.col("n") - need) & (F.col("x_pos") <= F.col("x_n") - need)
     fits = fits & _alike(F.col("n"), F.col("bits"), F.col("x_n"), F.col("x_bits"), similarity)
     pair = (F.col("comp") != F.col("x_comp")) & ((F.col("comp") == F.col("mode")) | (F.col("sid") > F.col("x"))) & fits
-    met = rows.withColumnRenamed("tok", "t").join(few, (F.col("t") == F.col("tok")) & pair)
+    met = rows.withColumnRenamed("tok", "t").join(few, (F.col("t") == F.col("tok")) & (F.col("part") == F.col("x_part")) & pair)
     met = met.select(F.least("sid", "x").alias("a_nid"), F.greatest("sid", "x").alias("b_nid")).distinct()
     met = met.join(_side(parts, "a", "gid", "comp"), "a_nid").join(_side(parts, "b", "gid", "comp"), "b_nid")
-    # Expand: members of each pair of groups, within their components.
-    member = parts.select("nid", "gid", "comp")
-    left = met.select("a_gid", "a_comp", "b_gid", "b_comp").join(member.select(F.col("nid").alias("a"), F.col("gid").alias("a_gid"), F.col("comp").alias("a_comp")), ["a_gid", "a_comp"])
-    return left.join(member.select(F.col("nid").alias("b"), F.col("gid").alias("b_gid"), F.col("comp").alias("b_comp")), ["b_gid", "b_comp"]).select("a", "b")
+    return parts.select("nid", "gid", "comp"), met
+
+
+def _members(met: DataFrame, parts: DataFrame, tries: int | None = None) -> DataFrame:
+    """Pairs a, b of members of the groups that meet: all, or the first ones and at most so many others for each pair of groups."""
+    own = parts.withColumn("try", F.lit(0) if tries is None else F.pmod(F.xxhash64("nid"), F.lit(tries)))
+    if tries is not None:
+        own = own.groupBy("gid", "comp", "try").agg(F.min("nid").alias("nid"))
+    side = lambda x: own.select(F.col("nid").alias(x), F.col("gid").alias(f"{x}_gid"), F.col("comp").alias(f"{x}_comp"), F.col("try").alias(f"{x}_try"))
+    one = met.select("a_gid", "a_comp", "b_gid", "b_comp").distinct().join(side("a"), ["a_gid", "a_comp"]).withColumnRenamed("a_try", "b_try")
+    pairs = one.join(side("b"), ["b_gid", "b_comp", "b_try"]).select("a", "b")
+    return pairs if tries is None else pairs.union(met.select("a_nid", "b_nid")).distinct()
 
 
 def _text_key(text: Column) -> Column:
@@ -250,11 +267,13 @@ def _rows(spark: SparkSession, docs: DataFrame, similarity: int, id_col: str, te
     first, _ = write_table(spark, _verify(_first_round(w, similarity), full, similarity), "near-links")
     release(spark)
     roots = components(spark, first)
-    more, _ = write_table(spark, _verify(_last_round(spark, w, roots, similarity), full, similarity), "near-links")
+    for meets, tries in ((MEETS, TRIES), (None, None)):
+        parts, met = _met(spark, w, roots, similarity, meets)
+        more, _ = write_table(spark, _verify(_members(met, parts, tries), full, similarity), "near-links")
+        if not more.isEmpty():
+            roots = components(spark, more.union(roots.select("node", "root")))
     drop_table(spark, full_at)
     release(spark)
-    if not more.isEmpty():
-        roots = components(spark, more.union(roots.select("node", "root")))
 
     named = classes.join(roots, F.col("nid") == F.col("node"), "left").select("cid", "rep", F.coalesce("root", "nid").alias("root"))
     names = named.groupBy("root").agg(F.min("rep").alias("component"))
