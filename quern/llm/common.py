@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..session import drop_table, shared_folder, ship, spread, write_table
 
-__all__ = ["BLANKS", "ascii_lower", "drop_table", "parallelism", "release", "shared_folder", "ship", "table", "write_table"]
+__all__ = ["BLANKS", "ascii_lower", "drop_table", "parallelism", "release", "shared_folder", "ship", "table", "trim", "write_table"]
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: [^\x20\x09-\x0D]+ has these as separators.
@@ -25,13 +25,17 @@ def ascii_lower(text: Column) -> Column:
     return F.translate(text, UPPER, UPPER.lower())
 
 
+def trim() -> None:
+    """Give freed memory back to the system: workers live on, and what one stage has left else adds to the next one's."""
+    if give := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        give(0)
+
+
 def release(spark: SparkSession) -> None:
-    """Let Spark remove the shuffle files of plans that are done, and give freed memory back to the system; else both stay."""
+    """Let Spark remove the shuffle files of plans that are done, and trim; else both stay."""
     gc.collect()
     spark.sparkContext._jvm.System.gc()
-    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
-    if trim:
-        trim(0)
+    trim()
 
 
 def parallelism(spark: SparkSession) -> int:

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import ship
+from .common import ship, trim
 
 BUCKETS = 1 << 14
 #: Labelled rows that the likelihoods are fitted on, at most, over all languages (about, as rows are drawn by hash).
@@ -172,5 +172,6 @@ def accepted(spark: SparkSession, docs: DataFrame, text_col: str = "text") -> Da
             for start in range(0, b.num_rows, 1000):
                 part = b.slice(start, 1000)
                 yield part.filter(pa.array([judge(t, *model)[0] != "und" for t in part.column(at).to_pylist()], pa.bool_()))
+        trim()
 
     return docs.mapInArrow(run, docs.schema)

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import tokens
-from .common import drop_table, ship, write_table
+from .common import drop_table, ship, trim, write_table
 
 CAPACITY = 2048
 END_ID = 0
@@ -55,6 +55,7 @@ def cut(spark: SparkSession, docs: DataFrame, capacity: int = CAPACITY, keep_ids
             if rows:
                 columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)]
                 yield pa.RecordBatch.from_arrays([b.column("doc_id").take(pa.array(at, pa.int64())), *columns], names=["doc_id", "piece", "start", "length", "ids_crc32", "ids"])
+        trim()
 
     made = given.mapInArrow(run, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, ids binary")
     return made if keep_ids else made.drop("ids")

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import tokens
-from .common import drop_table, parallelism, shared_folder, ship, write_table
+from .common import drop_table, parallelism, shared_folder, ship, trim, write_table
 
 END_ID = 1
 BITS = 20
@@ -152,6 +152,7 @@ def write(spark: SparkSession, docs: DataFrame, path: str, tokenizer: str | None
                 part = b.slice(at, 1000)
                 ids = [np.frombuffer(x + end, "<u4").astype(width).tobytes() for x in enc.encode(part.column("text_"))]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(ids, pa.binary())], names=["doc_id", "ids"])
+        trim()
 
     raw, raw_at = write_table(spark, given.mapInArrow(tokenize, "doc_id long, ids binary"), "ids")
 
