@@ -101,6 +101,7 @@ _VALUES = ", ".join(f"({i}, {' || '.join(f'chr({ord(c)})' if c < ' ' else chr(39
 
 @query(f"SELECT k, {_clean_sql('s')} AS cleaned, {_sub('s', '[ \t]{2,}', chr(39) + ' ' + chr(39))} AS collapsed, {_utf16_sql('s')}::BIGINT AS units FROM (VALUES {_VALUES}) AS v(k, s)")
 def text_literals(spark, sf_dir):
+    """Of literals, not of a table: the branches that no table reaches."""
     rows = spark.createDataFrame(list(enumerate(_LITERALS)), "k int, s string")
     return rows.select("k", text.clean_text(F.col("s")).alias("cleaned"), text.collapse_spaces(F.col("s")).alias("collapsed"), text.utf16_length(F.col("s")).alias("units"))
 
@@ -130,6 +131,7 @@ def _signed(x: str) -> str:
 
 @query(f"SELECT doc_id, {_signed('h')} AS h FROM (SELECT doc_id, {_FNV.format(x='s')} AS h FROM (SELECT doc_id, lang || ' ' || source || ' ' || n_chars AS s FROM documents))")
 def fnv1a64(spark, sf_dir):
+    """Of lang, source and n_chars, a short text of each row."""
     ship(spark)
     return _docs(spark, sf_dir).select("doc_id", hashing.fnv1a64_udf(F.concat_ws(" ", "lang", "source", "n_chars")).alias("h"))
 
@@ -357,14 +359,27 @@ def exact_dedupe(spark, sf_dir):
     return dedupe.mark_repeats(_docs(spark, sf_dir), F.col("text"), "doc_id").select("doc_id", "repeat")
 
 
-@query()
+_NEAR = "len(list_filter(r.kept, lambda x: bit_count(xor(x, c.h)) <= 8 AND (" + " OR ".join(f"((xor(x, c.h) >> {16 * k}) & 65535) = 0" for k in range(4)) + "))) > 0"
+#: Rows c(rn, doc_id, h, passes) one after another, as the rule is worded: near a kept row, or kept if it passes.
+_GREEDY = f"""r AS (SELECT 0::BIGINT AS rn, 0::BIGINT AS doc_id, FALSE AS near, []::BIGINT[] AS kept
+UNION ALL SELECT rn, doc_id, near, CASE WHEN passes AND NOT near THEN list_append(kept, h) ELSE kept END FROM (SELECT c.*, r.kept, {_NEAR} AS near FROM r JOIN c ON c.rn = r.rn + 1))"""
+
+
+@query(f"""WITH RECURSIVE docs AS (SELECT min(doc_id) AS doc_id, text FROM documents GROUP BY text), {_SIMHASH},
+c AS MATERIALIZED (SELECT row_number() OVER (ORDER BY doc_id) AS rn, doc_id, {_signed('h')} AS h, TRUE AS passes FROM hashes JOIN sizes USING (doc_id) WHERE n >= 10), {_GREEDY}
+SELECT doc_id, near AS fuzzy_dupe FROM r WHERE rn > 0""")
 def fuzzy_dedupe(spark, sf_dir):
     h = _hashed(spark, sf_dir)
     found = dedupe.near_blocked(h.select("line_no", "simhash", F.lit(True).alias("passes")), 8)
     return found.select(F.col("line_no").alias("doc_id"), F.col("blocked").alias("fuzzy_dupe"))
 
 
-@query()
+@query(f"""WITH RECURSIVE src AS (SELECT doc_id, source, {_clean_sql('text')} AS t FROM documents), {_REPEATS},
+measured AS (SELECT src.*, {_utf16_sql('t')} AS n, coalesce(r, 0.0) AS r, {_meaningful_sql('t')} AS m, row_number() OVER (PARTITION BY (t = ''), t ORDER BY src.doc_id) AS k FROM src LEFT JOIN ratios ON src.doc_id = ratios.doc_id),
+judged AS (SELECT *, CASE WHEN t = '' THEN 'empty_after_clean' WHEN k > 1 THEN 'dedupe' END AS early, CASE WHEN n < 10 THEN 'min_chars' WHEN n > 20000 THEN 'max_chars' WHEN r > 0.5 THEN 'repeat_ratio' WHEN m < 0.2 THEN 'meaningful_ratio' END AS late FROM measured),
+docs AS (SELECT doc_id, t AS text FROM judged WHERE early IS NULL), {_SIMHASH},
+c AS MATERIALIZED (SELECT row_number() OVER (ORDER BY doc_id) AS rn, doc_id, {_signed('h')} AS h, late IS NULL AS passes FROM hashes JOIN sizes s USING (doc_id) JOIN judged USING (doc_id) WHERE s.n >= 10), {_GREEDY}
+SELECT j.doc_id, coalesce(early, CASE WHEN near THEN 'fuzzy_dupe' END, late) AS rule, j.n::BIGINT AS total_chars FROM judged j LEFT JOIN r ON r.doc_id = j.doc_id AND r.rn > 0""")
 def clean_documents(spark, sf_dir):
     """The whole chain with its defaults."""
     return _judged(spark, sf_dir, rules.Options()).select(F.col("line_no").alias("doc_id"), "rule", "total_chars")
@@ -410,7 +425,7 @@ def topic_clusters(spark, sf_dir):
 
 
 def _scored(spark, sf_dir):
-    """A stand-in for perplexity: no model is part of this package."""
+    """A stand-in for perplexity, n_chars % 997: no model is part of this package, so these queries show the rules and reports only."""
     ppl = (F.col("n_chars") % 997).cast("double") / 4
     df = _docs(spark, sf_dir).select("doc_id", "source", ppl.alias("ppl"), F.floor(F.col("n_chars") / 40).cast("long").alias("n_tokens"))
     return scoring.judge_perplexity(df, 150.0, 32, ({"match": "src3"}, {"match": "SRC1", "ppl_max": 100}))

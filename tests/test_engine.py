@@ -173,7 +173,7 @@ def test_stream_equals_batch(spark, tmp_path):
     assert [r.rule for r in got] == [w for _, w in DIRTY] + ["dedupe", None] and [r.line_no for r in got] == list(range(1, 15))
 
 
-@pytest.mark.parametrize("name", ["verdict_first_fail", "merge_same_role", "script_shares", "status_changes", "label_mask", "validate_summary", "ppl_report"])
+@pytest.mark.parametrize("name", ["verdict_first_fail", "merge_same_role", "script_shares", "status_changes", "label_mask", "validate_summary", "ppl_report", "fuzzy_dedupe", "clean_documents", "simhash_pairs"])
 def test_queries_match_sql(spark, sf, name):
     import duckdb
 
