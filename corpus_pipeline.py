@@ -2,6 +2,11 @@
 
 STAGES are applied one after another; each result is written as Parquet and read again as the next stage's
 documents. All but the last keep the columns of documents.
+
+Defined results: documents with a null text, or one without letters, go at the first stage, so the later ones see texts
+only; a null doc_id, lang or source is carried along; of repeated rows the second stage keeps one; rows of one doc_id with
+different texts are judged each. Extra columns are carried up to the last stage, whatever their names; packing returns
+doc_id and its own columns. n_chars follows the text where it is masked. An empty table gives an empty result.
 """
 
 from __future__ import annotations
