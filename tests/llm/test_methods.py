@@ -237,3 +237,26 @@ def test_no_operator_is_a_python_worker_where_it_must_not_be(spark, sf):
     for name in ("op2_pii", "op5_quality_rules", "op9_url_rules"):
         plan = queries.QUERIES[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
         assert not re.search("Python|Pandas|Arrow", plan)
+
+
+def test_contamination_verdicts_by_hand(spark):
+    """The rule as it is worded, on cases whose common subsequences are counted by hand."""
+    from quern.llm import decontamination as dec
+
+    rng = random.Random(4)
+    body, answer = [f"q{i}" for i in range(30)], [f"a{i}" for i in range(10)]
+    host = lambda n: [rng.choice("river stone house over until meets past our sea and the runs".split()) for _ in range(n)]
+    half = [w if i % 2 else "zz" for i, w in enumerate(body)]
+    cases = {
+        1: [*body, *answer],  # all 40
+        2: [*half, *answer],  # 15 and the answer: 25 of 40
+        3: body[:26],  # 26 of 40, but no word of the answer
+        4: [*body[:8], *answer],  # 18 of 40
+        5: [*body, *answer][::-1],  # in the other order: 1
+        6: [*half, *answer[:7]],  # 22 of 40, 7 of 10 of the answer
+        7: [],
+    }
+    docs = spark.createDataFrame([(k, " ".join([*host(70), *w, *host(70)])) for k, w in cases.items()] + [(100 + k, " ".join(host(150))) for k in range(30)], "doc_id long, text string")
+    bench = spark.createDataFrame([("i", " ".join(body) + ". " + " ".join(answer))], "item_id string, text string")
+    got = {r.doc_id: (r.item_id, r.kind, round(r.share, 4)) for r in dec.find(spark, docs, bench).collect()}
+    assert got == {1: ("i", "verbatim", 1.0), 2: ("i", "paraphrase", 0.625)}
