@@ -1,11 +1,13 @@
 """Benchmark decontamination by latent semantic retrieval.
 
 Passages are windows of 32 and of 64 words, one every 16 words, over whole texts. Words are hashed into
-``BUCKETS`` terms; their document frequencies are counted over all documents. A randomised SVD of the TF-IDF
-matrix of passages finds the latent space: partial products with the random matrix are summed over the
-partitions of a bounded sample of documents (``SAMPLE`` of them) and over the benchmark items, which weigh
-as much as the sample so that the space tells items apart. Every passage of every document is then projected;
-pairs of passage and item whose cosine reaches ``COSINE`` are candidates. A candidate is contaminated if the
+``BUCKETS`` terms. One pass over all documents counts the terms' document frequencies and adds up a random
+projection of all their passages (of ``FITTED`` words, without overlap): each one's counts, scaled to length one,
+go with a random sign into one of ``SKETCH`` sums. Weighted by the frequencies, the sums are the sketch of a
+randomised SVD of the TF-IDF matrix of the whole corpus, and its ``COMMON`` strongest directions, each less the
+strength of the next one, which is the sketch's noise, are what documents have in common. The latent space is the
+SVD of these and of the benchmark items, which weigh as much as the corpus so that the space tells items apart.
+Every passage of every document is then projected; pairs of passage and item whose cosine reaches ``COSINE`` are candidates. A candidate is contaminated if the
 longest common subsequence of the item's words and the text around the passage, found within a compact
 stretch, covers ``VERBATIM`` of the item, or ``PARAPHRASE`` of it and nearly all of its answer, which is the
 item's last sentence.
@@ -33,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import drop_table, release, ship, trim, write_table
+from .common import ship, trim
 from .licenses import words_of
 
 BUCKETS = 1 << 14
@@ -41,13 +43,16 @@ STEP = 16
 #: Blocks of STEP words in a window: powers of two.
 WINDOWS = (2, 4)
 RANK = 128
+#: Not read: the spaces are fitted on all documents. A test sets it still.
 SAMPLE = 3_000
+#: Words of the passages that are fitted, sums that these are projected to, and directions taken of them.
+FITTED, SKETCH, COMMON = 64, 256, 64
+#: Words counted at a time, and pieces in which the tasks' counts are added up.
+GROUP, SPLIT = 1 << 16, 32
 #: Items that share a space: fewer than RANK, so that it holds each of them and what documents have in common.
 ITEMS = 100
 #: Spaces searched in one pass over the documents.
 SPACES = 4
-#: Partitions of the sample, each of which makes a matrix of BUCKETS x RANK numbers, and pieces in which these are added up.
-PARTS, SPLIT = 2, 32
 COSINE = 0.22
 VERBATIM = 0.75
 PARAPHRASE = 0.55
@@ -64,28 +69,75 @@ def _texts(b: pa.RecordBatch) -> list[bytes | None]:
     return b.column("text_").cast(pa.binary()).to_pylist()
 
 
-def document_frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
-    """Of every term, and the number of documents. docs: a column text_."""
+class Counts:
+    """Of some documents: how many they are, how many hold a term, and the projection of their passages."""
+
+    def __init__(self) -> None:
+        self.n, self.df, self.sums = 0, np.zeros(BUCKETS, np.int64), np.zeros((BUCKETS, SKETCH), np.float32)
+
+    def add(self, texts: list[np.ndarray], seeds: np.ndarray) -> None:
+        """texts: terms of each; seeds: a random number for each, uint64. Copies with one seed go into the same sums."""
+        self.n += len(texts)
+        sizes = np.array([len(b) for b in texts], np.int64)
+        if not sizes.sum():
+            return
+        passages = -(-sizes // FITTED)
+        text = np.repeat(np.arange(len(texts)), passages)  # of each passage
+        first = np.cumsum(passages) - passages
+        at = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        keys, n = np.unique((np.repeat(first, sizes) + at // FITTED) * BUCKETS + np.concatenate(texts), return_counts=True)
+        passage, term = keys // BUCKETS, keys % BUCKETS
+        self.df += np.bincount(np.unique(text[passage] * BUCKETS + term) % BUCKETS, minlength=BUCKETS)
+        # A random number for each passage (SplitMix64).
+        r = seeds[text] + (np.arange(len(text)) - first[text] + 1).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        r = (r ^ (r >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        r = (r ^ (r >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        r ^= r >> np.uint64(31)
+        scale = (1 - 2 * (r >> np.uint64(63)).astype(np.int64)) / np.sqrt(np.bincount(passage, n * n))
+        column = (r % np.uint64(SKETCH)).astype(np.int64)
+        np.add.at(self.sums.reshape(-1), term * SKETCH + column[passage], (n * scale[passage]).astype(np.float32))
+
+
+def corpus_counts(docs: DataFrame) -> Counts:
+    """Of all documents. docs: columns id_ and text_."""
+    rows = BUCKETS // SPLIT
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen, n = np.zeros(BUCKETS, dtype=np.int64), 0
-        there = np.zeros(BUCKETS, dtype=bool)
+        counts, texts, seeds, words = Counts(), [], [], 0
         for b in batches:
-            for text in _texts(b):
-                there[:] = False
-                there[_buckets(words_of(text))] = True
-                seen += there
-                n += 1
-        at = np.flatnonzero(seen)
-        yield pa.RecordBatch.from_pydict({"term": pa.array([*at, -1], pa.int32()), "n": pa.array([*seen[at], n], pa.int64())})
-
-    df, total = np.zeros(BUCKETS), 0
-    for r in docs.select("text_").mapInArrow(run, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).collect():  # a row a term
-        if r["term"] < 0:
-            total = r["n"]
-        else:
-            df[r["term"]] = r["n"]
-    return df, total
+            for text, seed in zip(_texts(b), b.column("seed_").to_pylist(), strict=True):
+                texts.append(_buckets(words_of(text)))
+                seeds.append(seed)
+                words += len(texts[-1])
+                if words >= GROUP or len(texts) >= GROUP:
+                    counts.add(texts, np.array(seeds, np.int64).view(np.uint64))
+                    texts, seeds, words = [], [], 0
+        counts.add(texts, np.array(seeds, np.int64).view(np.uint64))
+        for k in range(SPLIT):
+            part = slice(k * rows, (k + 1) * rows)
+            yield pa.RecordBatch.from_pydict({"k": pa.array([k], pa.int32()), "n": pa.array([counts.n], pa.int64()), "df": pa.array([counts.df[part].tobytes()], pa.binary()), "sums": pa.array([counts.sums[part].tobytes()], pa.binary())})
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, list] = {}
+        for b in batches:
+            for k, n, df, sums in zip(*(b.column(c).to_pylist() for c in ("k", "n", "df", "sums")), strict=True):
+                have = total.setdefault(k, [0, np.zeros(rows, np.int64), np.zeros(rows * SKETCH)])
+                have[0] += n
+                have[1] += np.frombuffer(df, np.int64)
+                have[2] += np.frombuffer(sums, np.float32)
+        for k, (n, df, sums) in total.items():
+            yield pa.RecordBatch.from_pydict({"k": pa.array([k], pa.int32()), "n": pa.array([n], pa.int64()), "df": pa.array([df.tobytes()], pa.binary()), "sums": pa.array([sums.astype(np.float32).tobytes()], pa.binary())})
+
+    schema = "k int, n long, df binary, sums binary"
+    # A task's sums are as large whatever it read, so there are few tasks; they are added up in pieces before they leave the executors.
+    few = docs.select("text_", F.xxhash64("id_", "text_").alias("seed_")).coalesce(docs.sparkSession.sparkContext.defaultParallelism)
+    out = Counts()
+    for r in few.mapInArrow(run, schema).repartition(SPLIT, "k").mapInArrow(add, schema).toLocalIterator():  # SPLIT rows
+        part = slice(r["k"] * rows, (r["k"] + 1) * rows)
+        out.n = r["n"]
+        out.df[part] = np.frombuffer(r["df"], np.int64)
+        out.sums[part] = np.frombuffer(r["sums"], np.float32).reshape(rows, SKETCH)
+    return out
 
 
 class Item:
@@ -167,69 +219,35 @@ def _passages(b: np.ndarray, squares: np.ndarray, weighted: np.ndarray) -> Itera
             yield s, m, sums[begin], np.sqrt(norm[begin])
 
 
-def latent_space(spark: SparkSession, sample: DataFrame, items: list[Item], idf: np.ndarray, rank: int = RANK) -> np.ndarray:
-    """Orthonormal [BUCKETS, rank] by randomised SVD: two passes over the sample. sample: a column text_, in PARTS partitions."""
-    rng = np.random.default_rng(11)
-    wide = rank + 16
+def _strongest(a: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Squared singular values of a narrow matrix, largest first, and what its columns are multiplied by for the left vectors' directions."""
+    gram = np.zeros((a.shape[1], a.shape[1]))
+    for at in range(0, len(a), 1024):
+        part = a[at : at + 1024].astype(np.float64)
+        gram += part.T @ part
+    values, vectors = np.linalg.eigh(gram)
+    return np.maximum(values[::-1], 0.0), vectors[:, ::-1]
 
-    def gram(rows: list[tuple[np.ndarray, np.ndarray]], right: np.ndarray, out: np.ndarray) -> None:
-        """out += A' A right, for sparse rows (terms, values)."""
-        terms = np.concatenate([t for t, _ in rows])
-        values = np.concatenate([v for _, v in rows])
-        ends = np.cumsum([0, *[len(t) for t, _ in rows]])
-        sums = np.add.reduceat(right[terms] * values[:, None], ends[:-1], axis=0)
-        spread = np.repeat(sums, np.diff(ends), axis=0) * values[:, None]
-        order = np.argsort(terms, kind="stable")
-        first = np.flatnonzero(np.diff(np.concatenate(([-1], terms[order].astype(np.int64)))))
-        out[terms[order][first]] += np.add.reduceat(spread[order], first, axis=0)
 
-    def unit(b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        terms, n = np.unique(b, return_counts=True)
-        v = (n * idf[terms]).astype(np.float32)
-        return terms, v / np.float32(max(1e-9, np.sqrt((v * v).sum())))
+def common_directions(sums: np.ndarray, idf: np.ndarray) -> np.ndarray:
+    """[BUCKETS, COMMON]: orthogonal, by strength; the squares add up to the documents' share of them, which is 1 at most. Overwrites sums."""
+    sums *= idf[:, None].astype(np.float32)
+    values, vectors = _strongest(sums)
+    strength = np.maximum(values[:COMMON] - values[COMMON], 0.0) / np.maximum(values[:COMMON] * values.sum(), 1e-30)
+    return sums @ (vectors[:, :COMMON] * np.sqrt(strength)).astype(np.float32)
 
-    def product(right: np.ndarray) -> np.ndarray:
-        rows = BUCKETS // SPLIT
 
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            out, n = np.zeros((BUCKETS, wide), np.float32), 0
-            for b in batches:
-                for text in _texts(b):
-                    t = _buckets(words_of(text))
-                    for at in range(0, len(t), 64 * STEP):
-                        part = t[at : at + 64 * STEP]
-                        passages = [unit(part[i : i + 2 * STEP]) for i in range(0, len(part), 2 * STEP)]
-                        gram(passages, right, out)
-                        n += len(passages)
-            for k in range(SPLIT):
-                yield pa.RecordBatch.from_pydict({"k": pa.array([k], pa.int32()), "n": pa.array([n], pa.int64()), "sums": pa.array([out[k * rows : (k + 1) * rows].tobytes()], pa.binary())})
-
-        def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            total: dict[int, tuple[int, np.ndarray]] = {}
-            for b in batches:
-                for k, n, sums in zip(*(b.column(c).to_pylist() for c in ("k", "n", "sums")), strict=True):
-                    m, have = total.get(k, (0, np.zeros(rows * wide, np.float32)))
-                    total[k] = (m + n, have + np.frombuffer(sums, np.float32))
-            for k, (n, sums) in total.items():
-                yield pa.RecordBatch.from_pydict({"k": pa.array([k], pa.int32()), "n": pa.array([n], pa.int64()), "sums": pa.array([sums.tobytes()], pa.binary())})
-
-        schema = "k int, n long, sums binary"
-        # The partial matrices are added up in pieces before they leave the executors: one matrix reaches the driver.
-        pieces = sample.mapInArrow(run, schema).repartition(SPLIT, "k").mapInArrow(add, schema)
-        total, n = np.zeros((BUCKETS, wide), np.float32), 0
-        for r in pieces.collect():  # SPLIT rows
-            total[r["k"] * rows : (r["k"] + 1) * rows] = np.frombuffer(r["sums"], np.float32).reshape(rows, wide)
-            n = r["n"]
-        own = np.zeros((BUCKETS, wide), np.float32)
-        gram([unit(_buckets(i.words)) for i in items], right, own)
-        release(spark)
-        return total + own * np.float32(max(1.0, n / len(items)))
-
-    basis, _ = np.linalg.qr(product(rng.standard_normal((BUCKETS, wide), dtype=np.float32)))
-    again = product(basis)
-    small = basis.T @ again
-    _, vectors = np.linalg.eigh((small + small.T) / 2)
-    return np.ascontiguousarray((basis @ vectors[:, ::-1][:, :rank]).astype(np.float32))
+def latent_space(common: np.ndarray, items: list[Item], idf: np.ndarray, rank: int = RANK) -> np.ndarray:
+    """Orthonormal [BUCKETS, rank at most]: the SVD of the common directions and the items."""
+    both = np.zeros((BUCKETS, COMMON + len(items)), np.float32)
+    both[:, :COMMON] = common
+    for k, item in enumerate(items, COMMON):
+        terms, n = np.unique(_buckets(item.words), return_counts=True)
+        v = n * idf[terms]
+        both[terms, k] = v / np.sqrt((v * v).sum() * len(items))
+    values, vectors = _strongest(both)
+    there = np.flatnonzero(values[:rank] > 1e-9 * values[0])
+    return both @ (vectors[:, there] / np.sqrt(values[there])).astype(np.float32)
 
 
 class Index:
@@ -237,8 +255,9 @@ class Index:
 
     def __init__(self, blocks: list[list[Item]], idf: np.ndarray, spaces: list[np.ndarray]) -> None:
         self.items = [item for block in blocks for item in block]
-        space = np.hstack(spaces)
-        self.weighted = np.vstack((space * idf[:, None], np.zeros((1, space.shape[1])))).astype(np.float32)
+        self.weighted = np.zeros((BUCKETS + 1, sum(one.shape[1] for one in spaces)), np.float32)
+        np.concatenate(spaces, axis=1, out=self.weighted[:-1])
+        self.weighted[:-1] *= idf[:, None].astype(np.float32)
         self.squares = np.append(idf * idf, 0.0)
         #: Terms of all items' words one after another, where each item's begin, and how many of them a text has to hold.
         self.terms = np.concatenate([_buckets(i.words) for i in self.items])
@@ -287,18 +306,18 @@ class Index:
         return out
 
 
-def indexes(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, item_col: str = "item_id", text_col: str = "text") -> Iterator[Index]:
+def indexes(docs: DataFrame, benchmark: DataFrame, item_col: str = "item_id", text_col: str = "text") -> Iterator[Index]:
     """One index for each pass over the documents. docs: columns id_ and text_."""
-    df, n_docs = document_frequencies(docs)
-    idf = np.log((n_docs + 1) / (df + 1)) + 0.05
-    drawn = F.pmod(F.xxhash64("id_", F.length("text_")), F.lit(1 << 20)) < int(min(1.0, SAMPLE / max(1, n_docs)) * (1 << 20)) + 1
-    sample, sample_at = write_table(spark, docs.where(drawn).select("text_").repartition(PARTS), "passage-sample")
-    sample = sample.repartition(PARTS)
+    counts = corpus_counts(docs)
+    idf = np.log((counts.n + 1) / (counts.df + 1)) + 0.05
+    common = common_directions(counts.sums, idf)
+    del counts
+    trim()
     rows = benchmark.select(F.col(item_col).alias("k"), F.col(text_col).alias("t")).orderBy("k", "t").toLocalIterator()
     blocks: list[list[Item]] = [[]]
 
     def made() -> Index:
-        return Index(blocks, idf, [latent_space(spark, sample, block, idf) for block in blocks])
+        return Index(blocks, idf, [latent_space(common, block, idf) for block in blocks])
 
     for r in rows:
         item = Item(r["k"], r["t"])
@@ -312,7 +331,6 @@ def indexes(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, item_col
         blocks[-1].append(item)
     if blocks[0]:
         yield made()
-    drop_table(spark, sample_at)
 
 
 def _given(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -338,7 +356,7 @@ def find(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, id_col: str
         return run
 
     out = None
-    for index in indexes(spark, given, benchmark):
+    for index in indexes(given, benchmark):
         part = given.mapInArrow(searcher(index), schema)
         out = part if out is None else out.unionByName(part)
     if out is None:
@@ -360,6 +378,6 @@ def clean(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, id_col: st
         return run
 
     out = docs
-    for index in indexes(spark, _given(docs, id_col, text_col), benchmark):
+    for index in indexes(_given(docs, id_col, text_col), benchmark):
         out = out.mapInArrow(keeper(index, names.index(text_col)), docs.schema)
     return out

@@ -81,6 +81,38 @@ def test_recall_does_not_fall_with_the_number_of_items(spark, sf, monkeypatch, m
         assert len(want) > 0.9 * many and len(want & found) >= 0.9 * len(want)
 
 
+def test_spaces_are_fitted_on_every_passage(spark, sf):
+    """Frequencies and sums of all documents, however they are dealt; their directions against a plain SVD."""
+    rng = np.random.default_rng(3)
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
+    rows += [(10_000 + k, " ".join(f"w{i}" for i in rng.integers(0, 300, 40))) for k in range(4_000)] + [(-1, None), (-2, "?!")]
+    docs = spark.createDataFrame(rows, "id_ long, text_ string")
+    got, again = dec.corpus_counts(docs.repartition(7)), dec.corpus_counts(docs.coalesce(1))
+    df, passages = np.zeros(dec.BUCKETS, int), []
+    for _, text in rows:
+        b = dec._buckets(dec.words_of((text or "").encode()))
+        df[np.unique(b)] += 1
+        passages += [b[i : i + dec.FITTED] for i in range(0, len(b), dec.FITTED)]
+    assert got.n == len(rows) and (got.df == df).all()
+    assert (again.df == df).all() and np.allclose(got.sums, again.sums, atol=1e-3)
+    idf = np.log((len(rows) + 1) / (df + 1)) + 0.05
+    terms = np.flatnonzero(df)
+    a = np.zeros((len(passages), len(terms)), np.float32)
+    for k, b in enumerate(passages):
+        t, n = np.unique(b, return_counts=True)
+        a[k, np.searchsorted(terms, t)] = n * idf[t] / np.sqrt((n * n).sum())
+    exact = rng.standard_normal((len(terms), 16)).astype(np.float32)
+    for _ in range(20):
+        exact, _ = np.linalg.qr(a.T @ (a @ exact))
+    exact = exact @ np.linalg.svd(a @ exact, full_matrices=False)[2].T
+    common = dec.common_directions(got.sums, idf)
+    strength = (common * common).sum(axis=0)
+    assert 0 < strength.sum() <= 1 and (np.diff(strength) <= 1e-6).all()
+    basis = common[:, strength > 0] / np.sqrt(strength[strength > 0])
+    for k in range(3):  # the strongest directions of all passages lie in the space
+        assert np.linalg.norm(exact[:, k] @ basis[terms]) > 0.8
+
+
 def test_empty_sides(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet").limit(5)
     bench = spark.read.parquet(f"{sf}/benchmark.parquet")
