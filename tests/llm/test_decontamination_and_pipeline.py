@@ -161,6 +161,20 @@ def test_stages_match_brute_force(spark, sf, stages):
     assert {r[0] for r in masked} == set(before) == {r[0] for r in packed}
 
 
+def test_the_stage_fits_its_spaces_on_all_documents(spark, tmp_path, monkeypatch):
+    """In one pass for all blocks of items, and more documents than the sample had that is no longer drawn."""
+    rng, n = random.Random(7), 3_500
+    texts = [" ".join(f"w{rng.randrange(2_000)}" for _ in range(70)) for _ in range(n)]
+    items = [(k, " ".join(texts[5 * k].split()[10:45])) for k in range(230)]
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = spark.createDataFrame([(k, t, "en", "web", len(t)) for k, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars int")
+    made, count = [], dec.corpus_counts
+    monkeypatch.setattr(dec, "corpus_counts", lambda docs: made.append(count(docs)) or made[-1])
+    kept = corpus_pipeline.decontaminate(spark, docs, str(tmp_path))
+    assert [c.n for c in made] == [n] and made[0].df.sum() == sum(len(set(dec._buckets(dec.words_of(t.encode())))) for t in texts)
+    assert {r.doc_id for r in kept.collect()} == set(range(n)) - {5 * k for k, _ in items}
+
+
 def test_run(spark, sf):
     out = corpus_pipeline.run(spark, sf)
     assert {"doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"} <= set(out.columns) and out.count() > 0
