@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import ship, trim
+from .common import drop_table, ship, trim, write_table
 from .licenses import words_of
 
 BUCKETS = 1 << 14
@@ -100,7 +100,7 @@ class Counts:
 
 def corpus_counts(docs: DataFrame) -> Counts:
     """Of all documents. docs: columns id_ and text_."""
-    rows = BUCKETS // SPLIT
+    spark, rows = docs.sparkSession, BUCKETS // SPLIT
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, texts, seeds, words = Counts(), [], [], 0
@@ -129,14 +129,17 @@ def corpus_counts(docs: DataFrame) -> Counts:
             yield pa.RecordBatch.from_pydict({"k": pa.array([k], pa.int32()), "n": pa.array([n], pa.int64()), "df": pa.array([df.tobytes()], pa.binary()), "sums": pa.array([sums.astype(np.float32).tobytes()], pa.binary())})
 
     schema = "k int, n long, df binary, sums binary"
-    # A task's sums are as large whatever it read, so there are few tasks; they are added up in pieces before they leave the executors.
-    few = docs.select("text_", F.xxhash64("id_", "text_").alias("seed_")).coalesce(docs.sparkSession.sparkContext.defaultParallelism)
+    # A task's sums are as large whatever it read, so there are few tasks; they are added up in pieces on the executors,
+    # and the driver reads the result a few pieces at a time.
+    few = docs.select("text_", F.xxhash64("id_", "text_").alias("seed_")).coalesce(spark.sparkContext.defaultParallelism)
+    pieces, pieces_at = write_table(spark, few.mapInArrow(run, schema).repartition(SPLIT, "k").mapInArrow(add, schema), "corpus-counts")
     out = Counts()
-    for r in few.mapInArrow(run, schema).repartition(SPLIT, "k").mapInArrow(add, schema).toLocalIterator():  # SPLIT rows
+    for r in pieces.coalesce(4).toLocalIterator():  # SPLIT rows
         part = slice(r["k"] * rows, (r["k"] + 1) * rows)
         out.n = r["n"]
         out.df[part] = np.frombuffer(r["df"], np.int64)
         out.sums[part] = np.frombuffer(r["sums"], np.float32).reshape(rows, SKETCH)
+    drop_table(spark, pieces_at)
     return out
 
 

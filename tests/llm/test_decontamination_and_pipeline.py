@@ -2,6 +2,7 @@
 
 import random
 import re
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -175,6 +176,18 @@ def test_the_stage_fits_its_spaces_on_all_documents(spark, tmp_path, monkeypatch
     assert {r.doc_id for r in kept.collect()} == set(range(n)) - {5 * k for k, _ in items}
 
 
+def test_what_the_driver_holds_for_the_stage(spark, sf):
+    """The driver's arrays for two spaces; 102 MB with a random projection of its own for each."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet").limit(300)
+    bench = spark.createDataFrame([(k, " ".join(f"w{k}x{i}" for i in range(35))) for k in range(200)], "item_id long, text string")
+    tracemalloc.start()
+    try:
+        dec.clean(spark, docs, bench)
+        assert tracemalloc.get_traced_memory()[1] < 70e6
+    finally:
+        tracemalloc.stop()
+
+
 def test_run(spark, sf):
     out = corpus_pipeline.run(spark, sf)
     assert {"doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"} <= set(out.columns) and out.count() > 0
