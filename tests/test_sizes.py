@@ -16,3 +16,15 @@ def test_no_exploded_rows_are_sent_by_the_driver(spark, tmp_path):
     df = dedupe.near_pairs(spark.read.parquet(str(tmp_path / "h")), 8)
     joins = [x for x in df._jdf.queryExecution().sparkPlan().toString().split("\n") if "Join" in x]
     assert [x for x in joins if "Inner" in x] and not [x for x in joins if "Inner" in x and "Broadcast" in x]
+
+
+@pytest.mark.parametrize("first, last", [(3, 0), (40, 25), (256, 4000)])
+def test_greedy_removal_makes_pairs_with_kept_rows_only(spark, monkeypatch, first, last):
+    def never(*_, **__):
+        raise AssertionError("all near pairs are made")
+
+    monkeypatch.setattr(dedupe, "near_pairs", never)
+    rows = [(i, h, i % 5 != 2) for i, h in enumerate(hashes(random.Random(6), 5))]
+    df = spark.createDataFrame(rows, "line_no long, simhash long, passes boolean")
+    got = {r.line_no: r.blocked for r in dedupe.near_blocked(df, 8, first=first, last=last).collect()}
+    assert got == sequential(rows) and any(got.values())
