@@ -2,6 +2,8 @@
 
 import random
 
+import duckdb
+import numpy as np
 import pytest
 
 from quern.operators import dedupe
@@ -28,3 +30,21 @@ def test_greedy_removal_makes_pairs_with_kept_rows_only(spark, monkeypatch, firs
     df = spark.createDataFrame(rows, "line_no long, simhash long, passes boolean")
     got = {r.line_no: r.blocked for r in dedupe.near_blocked(df, 8, first=first, last=last).collect()}
     assert got == sequential(rows) and any(got.values())
+
+
+def test_cosine_of_floats_as_sql_rounds_it(spark, tmp_path):
+    """Pairs whose cosine is a float's rounding from the threshold."""
+    rng = np.random.default_rng(4)
+    x = rng.standard_normal((60, 64)).astype(np.float32)
+    file = str(tmp_path / "e.parquet")
+    spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>").coalesce(1).write.parquet(file)
+    c = duckdb.connect()
+    c.sql(f"CREATE VIEW embeddings AS SELECT * FROM '{file}/*.parquet'")
+    every = "SELECT a.vec_id AS i, b.vec_id AS j, list_cosine_similarity(a.embedding, b.embedding) AS s FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id"
+    values = sorted({r[2] for r in c.sql(every).fetchall()})
+    for least in values[:: len(values) // 12]:
+        want = set(c.sql(f"SELECT i, j FROM ({every}) WHERE s >= {least!r}::FLOAT").fetchall())
+        i, j, _ = dedupe._similar(x, x, least)
+        assert {(a, b) for a, b in zip(i.tolist(), j.tolist(), strict=True) if a < b} == want
+    df = spark.read.parquet(file)
+    assert {(r.i, r.j) for r in dedupe.cosine_pairs(df, "vec_id", "embedding", least, 4, 9).collect()} == want
