@@ -48,3 +48,25 @@ def test_cosine_of_floats_as_sql_rounds_it(spark, tmp_path):
         assert {(a, b) for a, b in zip(i.tolist(), j.tolist(), strict=True) if a < b} == want
     df = spark.read.parquet(file)
     assert {(r.i, r.j) for r in dedupe.cosine_pairs(df, "vec_id", "embedding", least, 4, 9).collect()} == want
+
+
+@pytest.mark.parametrize("size", [64, 640, 1 << 20])
+@pytest.mark.parametrize("least", [0.3, 0.9, 0.9999])
+def test_semantic_duplicates_in_rounds(spark, least, size):
+    rng = np.random.default_rng(5)
+    x = np.concatenate([c + 0.2 * rng.standard_normal((20, 8)) for c in 3 * rng.standard_normal((4, 8))])
+    rows = [(i, v.tolist()) for i, v in enumerate(rng.permutation(x))] + [(900, None), (901, []), (902, [0.0] * 8)]
+    u = {i: np.array(v) / np.linalg.norm(v) for i, v in rows[:-3]}
+    kept, want = [], {900: False, 901: False, 902: False}
+    for i, v in u.items():
+        want[i] = any(v @ w >= least for w in kept)
+        if not want[i]:
+            kept.append(v)
+    df = spark.createDataFrame(rows, "k long, v array<double>")
+    assert {r.k: r.blocked for r in dedupe.semantic_duplicates(df, "k", "v", least, size).collect()} == want
+
+
+def test_semantic_duplicates_make_no_pairs_of_near_rows(spark, monkeypatch):
+    monkeypatch.setattr(dedupe, "cosine_pairs", lambda *_, **__: 1 / 0)
+    df = spark.range(3000).selectExpr("id AS k", "array(1.0D, id % 3, id % 2) AS v")
+    assert dedupe.semantic_duplicates(df, "k", "v", 0.9999, 2400).where("NOT blocked").count() == 6
