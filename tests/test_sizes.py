@@ -5,8 +5,11 @@ import random
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
+from quern.functions import text
 from quern.operators import dedupe
+from quern.plans import catalogue
 
 from .test_engine import sequential
 from .test_runs import hashes
@@ -70,3 +73,45 @@ def test_semantic_duplicates_make_no_pairs_of_near_rows(spark, monkeypatch):
     monkeypatch.setattr(dedupe, "cosine_pairs", lambda *_, **__: 1 / 0)
     df = spark.range(3000).selectExpr("id AS k", "array(1.0D, id % 3, id % 2) AS v")
     assert dedupe.semantic_duplicates(df, "k", "v", 0.9999, 2400).where("NOT blocked").count() == 6
+
+
+@pytest.fixture(scope="module")
+def odd_texts(spark, tmp_path_factory):
+    """Each character at both ends and inside, most of them by themselves, others in a row."""
+    codes = [k for k in (*range(1, 0x3400), *range(0x9F00, 0xAE00), *range(0xD700, 0xD800), *range(0xF800, 0x10400), *range(0x1F000, 0x1F800), *range(0x2EB00, 0x2EF00)) if not 0xD800 <= k < 0xE000]
+    rng = random.Random(7)
+    rows = [chr(k) + "x1" + chr(k) + "y" + chr(k) for k in codes] + ["".join(chr(rng.choice(codes)) for _ in range(rng.randrange(60))) for _ in range(500)] + ["", " ", "aaaa", "a a a a a"]
+    file = str(tmp_path_factory.mktemp("odd") / "documents.parquet")
+    spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string").repartition(4).write.parquet(file)
+    c = duckdb.connect()
+    c.sql(f"CREATE VIEW documents AS SELECT * FROM '{file}/*.parquet'")
+    return spark.read.parquet(file), c
+
+
+def test_texts_of_any_character_are_cleaned_as_sql_does(odd_texts):
+    df, c = odd_texts
+    want = c.sql(f"SELECT doc_id, {catalogue._trim_sql(catalogue._sub('text', text.CONTROL))} FROM documents").fetchall()
+    got = df.select("doc_id", text.trim(text.strip_control(F.col("text")))).collect()
+    assert dict(map(tuple, got)) == dict(want)
+
+
+@pytest.mark.parametrize("name, column", [("meaningful_ratio", text.meaningful_ratio), ("repeat_ratio", text.worst_repeat_ratio), ("char_totals", lambda x: text.measures(x).total_chars)])
+def test_texts_of_any_character_are_measured_as_sql_does(odd_texts, name, column):
+    df, c = odd_texts
+    want = {r[0]: r[1] for r in c.sql(catalogue.SQL[name]).fetchall()}
+    got = df.select("doc_id", F.round(column(F.array("text")), 6)).collect()
+    assert {k: round(v, 6) for k, v in got} == pytest.approx(want, abs=1e-6)
+
+
+def test_scripts_are_counted_as_by_patterns(odd_texts):
+    """By the patterns that were used before, and by no string for each match."""
+    df, _ = odd_texts
+    n = lambda p: F.regexp_count("text", F.lit(p))
+    white = text.WHITE.replace(r"\x{FEFF}", "")
+    neutral = "[" + "".join(rf"\x{{{a:X}}}-\x{{{b:X}}}" for a, b in text.NEUTRAL) + "]"
+    han, kana, hangul = n(r"[\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}\x{F900}-\x{FAFF}]"), n(r"[\x{3040}-\x{30FF}]"), n(r"[\x{AC00}-\x{D7AF}]")
+    quiet = n(rf"[A-Za-z\p{{Nd}}\x{{B2}}\x{{B3}}\x{{B9}}!-/:-@\[-`{{-~\x{{1C}}-\x{{1F}}\x{{85}}{white}]") + n(neutral) - n(r"[\x{3000}\x{A0}]")
+    want = {"zh": F.when(kana > 0, 0).otherwise(han), "ja": F.when(kana > 0, kana + han).otherwise(kana), "ko": hangul, "en": n("[A-Za-z]+"), "other": F.length("text") - quiet - han - kana - hangul}
+    wrong = df.withColumn("c", text.script_counts("text")).where(~(F.struct(*[F.col("c")[k].alias(k) for k in want]) == F.struct(*[v.cast("long").alias(k) for k, v in want.items()])))
+    assert not wrong.collect()
+    assert "regexp" not in df.select(text.script_shares(F.col("text")), text.meaningful_ratio(F.array("text")))._jdf.queryExecution().optimizedPlan().toString()
