@@ -115,3 +115,8 @@ def test_scripts_are_counted_as_by_patterns(odd_texts):
     wrong = df.withColumn("c", text.script_counts("text")).where(~(F.struct(*[F.col("c")[k].alias(k) for k in want]) == F.struct(*[v.cast("long").alias(k) for k, v in want.items()])))
     assert not wrong.collect()
     assert "regexp" not in df.select(text.script_shares(F.col("text")), text.meaningful_ratio(F.array("text")))._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_rules_read_no_text_once_it_is_measured(spark, sf):
+    plan = catalogue.QUERIES["verdict_first_fail"](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert "ReadSchema" in plan and "turns" not in plan
