@@ -7,15 +7,18 @@ from pyspark.sql import functions as F
 
 from ..functions import formats
 from ..functions.text import trim, utf16_length
+from ..session import settle
 
 
 def checked(lines: DataFrame, locked: str | None = None) -> DataFrame:
-    """lines: line_no, raw. Adds format, parsed and error: invalid_json, unknown_shape or mixed_format.
+    """lines: line_no, raw. line_no, format, parsed, chars, the head of raw, and error: invalid_json, unknown_shape or mixed_format.
 
-    locked: the format of records that came before; else the first record's holds.
+    locked: the format of records that came before; else the first record's holds. A line is parsed once: what is asked
+    of it later is read back from a table of these columns.
     """
-    v = formats.parse_json(trim(F.col("raw")))
-    df = lines.withColumn("v_", v).withColumn("format", formats.detect(F.col("v_"))).withColumn("parsed", F.col("v_").isNotNull()).drop("v_")
+    df = lines.withColumn("v_", formats.parse_json(trim(F.col("raw"))))
+    df = df.select("line_no", formats.detect(F.col("v_")).alias("format"), F.col("v_").isNotNull().alias("parsed"), utf16_length(F.col("raw")).alias("chars"), F.left("raw", F.lit(400)).alias("head"))
+    df = settle(df, "checked")
     first = locked or df.agg(F.min_by("format", F.when(F.col("format").isNotNull(), F.col("line_no"))).alias("f")).first()["f"]
     error = F.when(~F.col("parsed"), "invalid_json").when(F.col("format").isNull(), "unknown_shape").when(F.col("format") != F.lit(first), "mixed_format")
     return df.withColumn("error", error)
@@ -24,10 +27,10 @@ def checked(lines: DataFrame, locked: str | None = None) -> DataFrame:
 def counted(checked: DataFrame, most: int = 10) -> DataFrame:
     """lines, n_errors, format, chars, preview and errors (the first ``most``); one row, which added_up() can add to others."""
     at = F.when(F.col("format").isNotNull(), F.col("line_no"))
-    chars = F.sum(F.when(F.col("parsed"), utf16_length(F.col("raw"))).otherwise(0))
+    chars = F.sum(F.when(F.col("parsed"), F.col("chars")).otherwise(0))
     whole = checked.agg(
         F.count(F.lit(1)).alias("lines"), F.count("error").alias("n_errors"), F.min_by("format", at).alias("format"),
-        F.coalesce(chars, F.lit(0)).cast("long").alias("chars"), F.left(F.min_by("raw", at), F.lit(400)).alias("preview"),
+        F.coalesce(chars, F.lit(0)).cast("long").alias("chars"), F.min_by("head", at).alias("preview"),
     )
     top = checked.where("error IS NOT NULL").orderBy("line_no").limit(most)
     errors = top.agg(F.sort_array(F.collect_list(F.struct(F.col("line_no").cast("long").alias("line"), F.col("error").alias("message")))).alias("errors"))

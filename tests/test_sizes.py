@@ -120,3 +120,8 @@ def test_scripts_are_counted_as_by_patterns(odd_texts):
 def test_rules_read_no_text_once_it_is_measured(spark, sf):
     plan = catalogue.QUERIES["verdict_first_fail"](spark, sf)._jdf.queryExecution().executedPlan().toString()
     assert "ReadSchema" in plan and "turns" not in plan
+
+
+def test_lines_are_parsed_once(spark, sf):
+    plan = catalogue.QUERIES["validate_summary"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert "json" not in plan.replace("invalid_json", "")
