@@ -125,3 +125,8 @@ def test_rules_read_no_text_once_it_is_measured(spark, sf):
 def test_lines_are_parsed_once(spark, sf):
     plan = catalogue.QUERIES["validate_summary"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
     assert "json" not in plan.replace("invalid_json", "")
+
+
+def test_cleaning_of_conversations_makes_no_near_pairs(spark, sf, monkeypatch):
+    monkeypatch.setattr(dedupe, "near_pairs", lambda *_, **__: 1 / 0)
+    assert catalogue.QUERIES["clean_conversations"](spark, sf).count()
